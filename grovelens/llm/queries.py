@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovelens.llm import packing, pii, quality, tokencount, urlfilter
+from grovelens.llm import decontam, jaccard, langid, licenses, lmscore, packing, pii, quality, tokencount, urlfilter
 from grovelens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,28 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("mark")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_found", "n_shingles")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.n_shingles").alias("n_shingles"), F.col("best.n_found").alias("n_found"), F.col("best.containment").alias("containment"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -38,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_lm_scoring, op5_licenses, op6_language_id, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_url_filters": r"""
@@ -53,4 +75,14 @@ ORACLE_SQL = {
         SELECT page_id, host, path, h || p AS rule, coalesce(verdict, 'allow') AS verdict
         FROM fit LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) AND length(h || p) = size
     """,
+    "op8_decontamination": r"""
+        WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
+        b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+        bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
+        n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+        f AS (SELECT doc_id, item_id, count(*) AS found FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n AS n_shingles, found AS n_found, found / n AS containment
+        FROM f JOIN n USING (item_id) WHERE found >= ceil(n * 0.8 - 1e-9)
+    """,
 }
