@@ -17,7 +17,9 @@ Intermediate tables are written to spark.checkpoint.dir; nothing that grows with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,16 @@ def bands(n: int) -> list[tuple[int, int]]:
         low = high + 1
 
 
+@lru_cache(maxsize=4096)
+def spare_blocks(d: int, smallest: int) -> int:
+    """m: over the number of empty blocks that a set of the smallest size is likely to have among d + m."""
+    m = 2
+    for _ in range(30):
+        mean = (d + m) * exp(-smallest / (d + m))
+        m = max(2, ceil(mean + 3 * sqrt(mean)))
+    return m
+
+
 def block_hashes(s: np.ndarray, percent: int = THRESHOLD) -> np.ndarray:
     """The block hashes of one set, for the pairs whose larger set lies in its own band and, where one can, in the next."""
     n, out = len(s), []
@@ -69,7 +81,7 @@ def block_hashes(s: np.ndarray, percent: int = THRESHOLD) -> np.ndarray:
         d = differences(high, high, percent)
         if d < 1:
             continue  # only equal sets link
-        spare = 4 if d >= 6 else 2
+        spare = spare_blocks(d, max(1, low * percent // 100))
         size = d + spare
         where = ((s >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
         cuts = np.searchsorted(where, np.arange(size + 1, dtype=np.uint64))

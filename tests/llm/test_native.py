@@ -1,0 +1,193 @@
+"""The operators made of column expressions alone: PII, licenses, decontamination, quality rules."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from grovelens.llm import decontam, licenses, pii, quality, queries
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    def fits(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and luhn(digits)
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if fits(k, m.group())]
+
+
+@pytest.fixture(scope="module")
+def personal(spark):
+    rng = random.Random(3)
+    parts = ["a", "b.", "@", "x-y", ".com", ".", "1", "23", "4.5.6.7", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (437) 555-0689", "+", "(", " ", "é", "😀", "\n", "-", " DE89 3704 0044 0532 0130 00 ", "phone", "ssn 123-45-6789 "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(500)]
+    return [*texts, None, "", "a@b.c " * 700, "1.2.3.4 " * 900, "1 " * 30_000, "+1" + " " * 30_000, "9" * 20_000]
+
+
+def test_pii_base_spans(spark, personal):
+    df = spark.createDataFrame(list(enumerate(personal)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df).collect()}
+    for i, text in enumerate(personal):
+        assert [s for s in got[i] if s[0] in PATTERNS] == base_spans(text), text
+    assert any(s[0] == "iban" for v in got.values() for s in v) and any(s[0] == "ssn" for v in got.values() for s in v)
+
+
+def test_pii_checks_and_context(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 now", "pay DE88 3704 0044 0532 0130 00 now", "my ssn: 123-45-6789", "part 123-45-6789", "call +1 437 555 0689", "zzz +1 437 555 0689"]
+    got = [[(s.kind, s.score) for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [[k for k, _ in x] for x in got] == [["iban"], [], ["ssn"], [], ["phone"], ["phone"]]
+    assert got[4][0][1] > got[5][0][1]
+
+
+def test_pii_query_and_redaction(spark, odd, none, personal, tmp_path):
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(personal)], "doc_id long, text string, spans string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op3_pii(spark, str(tmp_path)).collect():
+        want = base_spans(personal[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in PATTERNS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    short = df.filter("length(text) < 2000 or text is null").withColumn("n_chars", F.lit(-1).cast("long"))
+    for r in pii.redact(short).collect():
+        before = personal[r.doc_id]
+        hidden = set()
+        for _, a, b in base_spans(before):
+            hidden.update(range(a, b))
+        assert (r.text == before and r.n_chars == -1) or (r.n_chars == len(r.text) and "<" in r.text)
+        assert (not hidden or r.text != before) and r.spans == "kept"
+    assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count() and pii.redact(none).count() == 0
+
+
+def test_redaction_keeps_what_is_around(spark):
+    df = spark.createDataFrame([(1, "é mail a@b.com, +1 (437) 555-0689 4111 1111 1111 1111 end")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "é mail <EMAIL>, <PHONE> <CARD> end"
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def test_license_phrases(spark, odd, none):
+    rng = random.Random(8)
+    parts = ["MIT", "License", "Apache", "GNU", "General", "Public", "cc", "BY", "é", "accc", "-", "\n", ".", "und", "ÇC", "license,"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)] + [None, "", "CC/BY", "mit license " * 2000, "Licensed under CC BY-NC 4.0."]
+    texts += [r.text for r in odd.collect()]
+    df = spark.createDataFrame([(i, t, "w", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, words string, base double")
+    for r in licenses.summarise(licenses.scan(df)).collect():
+        w, starts, labels = words_of(texts[r.doc_id]), [], set()
+        for phrase, label in licenses.PHRASES:
+            p = phrase.split()
+            found = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            starts += found
+            labels |= {label} if found else set()
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))), texts[r.doc_id]
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+    assert licenses.scan(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("SPDX-License-Identifier: Apache-2.0", {"apache-2.0"}),
+        ("Licensed under the Apache License, Version 2.0 (the License)", {"apache", "apache-2.0"}),
+        ("Licensed under CC BY-NC 4.0.", {"cc-by", "cc-by-nc"}),
+        ("under CC BY 4.0", {"cc-by"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense", "public-domain"}),
+        ("Released under the MIT License.", {"mit"}),
+        ("GNU General Public License, version 3", {"gpl", "gpl-3.0"}),
+        ("a permit, licensed to drive", set()),
+        ("see https://www.gnu.org/licenses/gpl-3.0.html", {"gpl-3.0"}),
+    ],
+)
+def test_license_rules(spark, text, labels):
+    row = licenses.summarise(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert set(filter(None, row.labels.split(","))) == labels
+
+
+def test_license_containment(spark):
+    rules = (licenses.Rule("outer", "alpha license two", "alpha", 3, 0.9), licenses.Rule("inner", "alpha license", "alpha", 2, 0.8), licenses.Rule("other", "license two three", "license", 2, 0.7))
+    row = licenses.scan(spark.createDataFrame([(1, "x alpha license two three")], "doc_id long, text string"), rules).first()
+    assert [(h.label, h.start, h.end) for h in row.hits] == [("outer", 1, 4), ("other", 2, 5)]
+    assert len(licenses.rule_table()) > 200
+
+
+def shingles(text):
+    w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_SHINGLES, 0])
+def test_decontamination(spark, odd, none, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", limit)
+    rng = random.Random(7)
+    lexicon = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(lexicon, k=rng.choice([3, 5, 6, 9, 17, 40])))) for i in range(40)] + [(40, None), (41, ""), (3, "w1 w2 w3 w4 w5 w6"), (None, "an item without an id is one too")]
+    docs = []
+    for d in range(120):
+        w = rng.choices(lexicon, k=rng.choice([0, 5, 50, 400]))
+        if d % 2:
+            part = (items[rng.randrange(40)][1] or "").split()
+            for _ in range(rng.randint(0, 2)):
+                part[rng.randrange(len(part))] = "changed"
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        docs.append((1000 + d, ("  " if d % 3 else "\n, ").join(w).upper() if d % 5 == 0 else ", ".join(w)))
+    docs += [(r.doc_id, r.text) for r in odd.collect()]
+    by_id = {}
+    for i, t in items:
+        by_id[i] = by_id.get(i, set()) | shingles(t)
+    want = {(d, i) for d, t in docs for i, s in by_id.items() if s and len(s & shingles(t)) >= 0.8 * len(s) - 1e-9}
+    df = spark.createDataFrame([(d, t, 1, "i") for d, t in docs], "doc_id long, text string, at int, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.search(df, bench).collect()} == want and len(want) > 20
+    dirty = {d for d, _ in want}
+    assert sorted(r.doc_id or -1 for r in decontam.clean(df, bench).collect()) == sorted(d or -1 for d, _ in docs if d not in dirty)
+    assert decontam.clean(df, bench.limit(0)).count() == len(docs) and decontam.search(none, bench).count() == 0
+
+
+def plain_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = {}
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+    repeated = {p + k for ps in seen.values() if len(ps) > 1 for p in ps for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_quality_base(spark, odd, none):
+    rng = random.Random(5)
+    parts = ["the", "of", "cat", "é", "日本", "#", "$x", "\n", "\n\n", "\t", "a b c", "|", " ", "<b>"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(300)] + [r.text for r in odd.collect()] + ["a b c", "a b c d", "a b c a b c", "line\n" * 50]
+    df = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, m string")
+    for r in quality.judge(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(texts[r.doc_id]), texts[r.doc_id]
+        assert r.kept == (r.failed == "") and not (r.base_failed and r.kept)
+    assert quality.judge(none).count() == 0
+
+
+def test_quality_plan_has_no_user_function_and_no_shuffle(spark, odd):
+    plan = quality.judge(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
