@@ -100,28 +100,38 @@ def set_number(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s, 17).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 19)[0] >> np.uint64(1))
 
 
-def _rows(words: int, percent: int):
+def _rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # sets of this task whose hashes are out; a task's rows bound it
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                numbers, sizes, hashes = [], [], []
-                for text in part.column("text").cast(pa.binary()).to_pylist():
-                    s = shingle_hashes(text or b"", words)
-                    number = set_number(s) if len(s) else None
-                    first = number is not None and number not in seen
-                    if first:
-                        seen.add(number)
-                    numbers.append(number)
-                    sizes.append(len(s))
-                    hashes.append(block_hashes(s, percent).view(np.int64) if first else None)
-                columns = [part.column("doc_id"), part.column("mark"), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n_shingles", "hashes"])
+                sets = [shingle_hashes(text or b"", words) for text in part.column("text").cast(pa.binary()).to_pylist()]
+                numbers = pa.array([set_number(s) if len(s) else None for s in sets], pa.int64())
+                columns = [part.column("doc_id"), part.column("mark"), numbers, pa.array(map(len, sets), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n_shingles"])
 
     return rows
 
 
+def _blocks(words: int, percent: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # sets of this task whose hashes are out; a task's rows bound it
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                nodes, hashes = [], []
+                for text in batch.column("text").slice(at, 256).cast(pa.binary()).to_pylist():
+                    s = shingle_hashes(text or b"", words)
+                    if not len(s) or (node := set_number(s)) in seen:
+                        continue
+                    seen.add(node)
+                    hashes.append(block_hashes(s, percent).view(np.int64))
+                    nodes.append(np.full(len(hashes[-1]), node, np.int64))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(hashes))], names=["node", "block"])
+
+    return blocks
+
+
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,10 +211,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
     """
     docs = documents(docs)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    rows = materialize(marked.mapInArrow(_rows(words, percent), "doc_id long, mark long, node long, n_shingles long, hashes array<long>"))
+    rows = materialize(marked.mapInArrow(_rows(words), "doc_id long, mark long, node long, n_shingles long"))
 
     # blocks that more than one node has
-    blocks = rows.filter("hashes is not null").select("node", F.explode("hashes").alias("block"))
+    blocks = docs.select("text").mapInArrow(_blocks(words, percent), "node long, block long")
     every = Window.partitionBy("block")
     shared = blocks.select("block", "node", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).filter("low < high").select("block", "node")
     shared = materialize(shared.distinct())
