@@ -3,7 +3,7 @@ r"""License scans: ordered signature rules over a text's words.
 A text is reduced to its words, A-Z lower-cased, joined by single spaces, and each rule is a regular expression over that
 string. Rules are gated twice: a text without any of the GATES' words is not normalised at all, and a rule runs only where
 its keyword occurs. Of overlapping detections, one that lies within a detection of higher priority (or of the same, if it
-is shorter) is suppressed. Everything is a column expression; nothing is shuffled.
+is shorter or comes later) is suppressed. Everything is a column expression; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovelens.llm.common import ascii_lower
-from grovelens.llm.pii import running_sums
+from grovelens.llm.pii import matches
 
 #: A word of the text as given, before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -139,14 +139,14 @@ LONE = r"(?<![a-z0-9\x{80}-\x{10FFFF}])cc(?![a-z0-9\x{80}-\x{10FFFF}])"
 _HIT = "array<struct<start:int,end:int,label:string,priority:int,confidence:double>>"
 
 
-def _places(words: Column, pattern: Column) -> Column:
-    """(start, end) in words of all matches of pattern in words, a string with a space before, between and after them."""
-    hit = F.regexp_extract_all(words, pattern, F.lit(0))
-    gap = F.split(words, pattern, -1)
+def _places(words: Column, pattern: Column, label: Column, priority: Column, confidence: Column) -> Column:
+    """The detections of a rule in words, a string with a space before, between and after them."""
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    steps = F.transform(hit, lambda x, i: spaces(x) + spaces(F.get(gap, i)))
-    before = running_sums(steps)
-    return F.transform(hit, lambda x, i: F.struct((F.get(before, i) + spaces(F.get(gap, i)) - 1).alias("start"), (F.get(before, i) + spaces(F.get(gap, i)) + spaces(x)).alias("end")))
+
+    def made(x: Column, start: Column, before: Column, after: Column) -> Column:
+        return F.struct((start - 1).alias("start"), (start + spaces(x)).alias("end"), label.alias("label"), priority.alias("priority"), confidence.alias("confidence"))
+
+    return matches(words, pattern, spaces, made)
 
 
 def _whole(pattern: str) -> str:
@@ -172,34 +172,33 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None, phrases: tuple[
     df = df.select("doc_id", "n_words", F.when(F.col("asked"), joined).alias("words"))
     words = F.col("words")
 
-    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    base = []
-    for phrase, label in phrases:
-        base.append(F.transform(_places(words, F.lit(_whole(phrase))), _labelled(label)))
+    base = [_places(words, F.lit(_whole(p)), F.lit(label), F.lit(0), F.lit(0.8)) for p, label in phrases]
+    none = F.array().cast(_HIT)
     # a phrase stands wherever its words do: none of PHRASES can overlap itself
-    df = df.withColumn("base", F.when(words.isNotNull(), F.array_sort(F.concat(*base))).otherwise(none))
+    df = df.withColumn("base", F.when(words.isNotNull(), F.array_sort(F.concat(none, *base))).otherwise(none))
 
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_whole(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for r in rules])
-
-    def run(r: Column) -> Column:
-        return F.transform(_places(words, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
-
-    asked = F.filter(table, lambda r: F.contains(words, r["keyword"]))
-    hits = F.flatten(F.transform(F.filter(asked, lambda r: F.call_function("rlike", words, r["pattern"])), run))
-    df = df.withColumn("all", F.when(words.isNotNull(), hits).otherwise(F.array().cast(_HIT)))
-    ordered = F.array_sort(F.transform("all", lambda h: F.struct((-h["priority"]).alias("first"), (h["start"] - h["end"]).alias("size"), h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"), h["confidence"].alias("confidence"))))
-    kept_type = "array<struct<first:int,size:int,start:int,end:int,label:string,confidence:double>>"
-
-    def add(kept: Column, h: Column) -> Column:
-        covered = F.exists(kept, lambda k: (k["start"] <= h["start"]) & (h["end"] <= k["end"]))
-        return F.when(covered, kept).otherwise(F.concat(kept, F.array(h)))
-
-    kept = F.when(F.size("all") > 0, F.aggregate(ordered, F.array().cast(kept_type), add)).otherwise(F.array().cast(kept_type))
-    return df.withColumn("kept", kept).select("doc_id", "n_words", "base", F.transform("kept", lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"), (-k["first"]).alias("priority"), k["confidence"].alias("confidence"))).alias("hits"))
-
-
-def _labelled(label: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"))
+    asked = F.filter(table, lambda r: F.contains(words, r["keyword"]) & F.call_function("rlike", words, r["pattern"]))
+    hits = F.flatten(F.transform(asked, lambda r: _places(words, r["pattern"], r["label"], r["priority"], r["confidence"])))
+    df = df.withColumn("hits", F.when(words.isNotNull(), _uncovered(hits, sorted({r.priority for r in rules}))).otherwise(none))
+    return df.select("doc_id", "n_words", "base", "hits")
+
+
+def _uncovered(hits: Column, priorities: list[int]) -> Column:
+    """hits by start, longest first, without those that lie within another of higher priority, or of the same but longer (or first)."""
+    order = lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("end"), (-h["priority"]).alias("priority"), h["label"].alias("label"), h["confidence"].alias("confidence"))
+    ordered = F.transform(F.array_sort(F.transform(hits, order)), lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("end"), h["label"].alias("label"), (-h["priority"]).alias("priority"), h["confidence"].alias("confidence")))
+    # reach: for each priority the furthest end of a hit of at least that priority so far
+    start = F.struct(*[F.lit(-1).alias(f"p{p}") for p in priorities], F.array().cast(_HIT).alias("kept"))
+
+    def add(acc: Column, h: Column) -> Column:
+        covered = F.lit(False)
+        for p in priorities:
+            covered = covered | ((h["priority"] == p) & (h["end"] <= acc[f"p{p}"]))
+        reach = [F.when(h["priority"] >= p, F.greatest(acc[f"p{p}"], h["end"])).otherwise(acc[f"p{p}"]).alias(f"p{p}") for p in priorities]
+        return F.struct(*reach, F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(h))).alias("kept"))
+
+    return F.aggregate(ordered, start, add, lambda acc: acc["kept"])
 
 
 def summarise(scanned: DataFrame) -> DataFrame:

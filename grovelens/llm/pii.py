@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
+SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 #: Characters before and after a span in which context words count.
 NEAR = 40
 BLOCK = 256
@@ -75,35 +76,48 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, also where body uses it within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(sizes: Column) -> Column:
     """For each element of an int array the sum of those before it; in blocks, so that the work grows by BLOCK for each element."""
-    n = F.size(sizes)
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+    numbers = lambda s: F.sequence(F.lit(0), ((F.size(s) - 1) / BLOCK).cast("int"))
+    block = lambda s, b: F.slice(s, b * BLOCK + 1, F.lit(BLOCK))
+
+    def summed(s: Column) -> Column:
+        def inside(before: Column) -> Column:
+            within = lambda b: lambda part: F.transform(part, lambda _, i: F.get(before, b) + total(F.slice(part, F.lit(1), i)))
+            return F.flatten(F.transform(numbers(s), lambda b: let(block(s, b), within(b))))
+
+        sums = F.transform(numbers(s), lambda b: total(block(s, b)))
+        return let(let(sums, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b)))), inside)
+
+    return let(sizes, lambda s: F.when(F.size(s) > 0, summed(s)).otherwise(F.array().cast("array<int>")))
 
-    def inner(b: Column) -> Column:
-        part = F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))
-        return F.transform(part, lambda _, i: F.get(before, b) + total(F.slice(part, F.lit(1), i)))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int")), inner))).otherwise(F.array().cast("array<int>"))
+def matches(text: Column, pattern: Column, size: Callable[[Column], Column], make: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """make(match, start, text before, text after) for all matches of pattern in text; start counts by size()."""
 
+    def over(hit: Column, gap: Column) -> Column:
+        steps = F.transform(hit, lambda x, i: size(x) + size(F.get(gap, i)))
+        place = lambda at: F.transform(hit, lambda x, i: make(x, F.get(at, i) + size(F.get(gap, i)), F.get(gap, i), F.get(gap, i + 1)))
+        return let(running_sums(steps), place)
 
-def _advance(gap: str) -> Callable[[Column, Column], Column]:
-    return lambda x, i: F.length(x) + F.length(F.get(F.col(gap), i))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hit: let(F.split(text, pattern, -1), lambda gap: over(hit, gap)))
 
 
-def _span(k: Kind, gap: str, at: str) -> Callable[[Column, Column], Column]:
-    """A match and its number to its span; score is null if the match fails its check."""
+def _span(k: Kind) -> Callable[[Column, Column, Column, Column], Column]:
+    """A match to its span; score is null if the match fails its check."""
 
-    def found(x: Column, i: Column) -> Column:
-        before, after = F.get(F.col(gap), i), F.get(F.col(gap), i + 1)
-        start = F.get(F.col(at), i) + F.length(before)
+    def made(x: Column, start: Column, before: Column, after: Column) -> Column:
         near = F.lower(F.concat_ws(" ", F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR))))
         score = F.when(near.rlike(k.context), min(1.0, k.score + 0.3)).otherwise(k.score)
         return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"), F.when(k.valid(x), score).alias("score"))
 
-    return found
+    return made
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -111,18 +125,13 @@ def with_spans(docs: DataFrame, text: str = "text", into: str = "spans", kinds:
 
     A null or empty text has none. All other columns stay as they are, repeated rows are each answered.
     """
-    own, made, df = "__pii_", [], docs
+    made = []
     for k in kinds:
-        hit, gap, at = (f"{own}{k.name}_{x}" for x in ("hit", "gap", "at"))
-        there = F.coalesce(F.col(text).rlike(k.gate), F.lit(False))
-        none = F.array().cast("array<string>")
-        df = df.withColumn(hit, F.when(there, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none))
-        df = df.withColumn(gap, F.when(F.size(hit) > 0, F.split(text, k.pattern, -1)).otherwise(none))
-        df = df.withColumn(at, F.when(F.size(hit) > 0, running_sums(F.transform(hit, _advance(gap)))).otherwise(F.array().cast("array<int>")))
-        kept = F.filter(F.transform(hit, _span(k, gap, at)), lambda s: s["score"].isNotNull())
-        made.append(kept if k.base else F.filter(kept, lambda s: s["score"] >= THRESHOLD))
-    df = df.withColumn(into, F.concat(*made))
-    return df.drop(*[c for c in df.columns if c.startswith(own)])
+        found = matches(F.col(text), F.lit(k.pattern), F.length, _span(k))
+        kept = F.filter(found, lambda s: s["score"].isNotNull())
+        kept = kept if k.base else F.filter(kept, lambda s: s["score"] >= THRESHOLD)
+        made.append(F.when(F.coalesce(F.col(text).rlike(k.gate), F.lit(False)), kept).otherwise(F.array().cast(SPANS)))
+    return docs.withColumn(into, F.concat(*made))
 
 
 def span_list(spans: Column) -> Column:
