@@ -87,6 +87,6 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     asked = asked.withColumn("short", F.substring("asked", 1, PREFIX_BYTES))
     side = known.select("short", "digest", "found")
     hits = asked.join(F.broadcast(side) if shapes["n"] <= BROADCAST_RULES else side, "short").filter(F.col("asked") == F.col("digest"))
-    best = hits.groupBy("host", "path").agg(F.max("found").alias("found"))
+    best = hits.groupBy("host", "path").agg(F.max("found").alias("__found"))
     joined = given.join(best, ["host", "path"], "left")
-    return joined.withColumns({"rule": F.col("found.rule"), "verdict": F.coalesce("found.verdict", F.lit(otherwise))}).drop("found")
+    return joined.withColumns({"rule": F.col("__found.rule"), "verdict": F.coalesce("__found.verdict", F.lit(otherwise))}).drop("__found")
