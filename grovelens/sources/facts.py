@@ -1,0 +1,122 @@
+"""Project facts from manifests: stack labels, commands, entry points, and the roots of nested projects.
+
+Facts of one project come from a handful of small files, so they are read in one worker call for each root; a frame of
+manifests (root, name, text) with many roots is processed in parallel.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from grovelens.functions import paths
+from grovelens.operators.resolve import is_test
+
+# Manifests that mark a project, install hooks, lockfiles in order of precedence.
+MANIFESTS = ("package.json", "pubspec.yaml", "pyproject.toml", "requirements.txt", "Cargo.toml", "go.mod", "pom.xml", "composer.json", "Gemfile")
+LIFECYCLE = {"prepare", "prepublish", "prepublishOnly", "preinstall", "install", "postinstall", "prepack", "postpack"}
+LOCKFILES = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("bun.lock", "bun"), ("package-lock.json", "npm"))
+CORE = ("install", "dev", "start", "build", "test", "lint", "typecheck", "type-check", "check", "format")
+#: Dependencies that name a framework, and its label.
+JS_LABELS = (("next", "Next.js"), ("react", "React"), ("vue", "Vue"), ("svelte", "Svelte"), ("express", "Express"), ("vitest", "Vitest"), ("jest", "Jest"), ("@playwright/test", "Playwright"), ("tailwindcss", "Tailwind CSS"))
+PY_LABELS = (("django", "Django"), ("flask", "Flask"), ("fastapi", "FastAPI"), ("pytest", "pytest"), ("pandas", "pandas"), ("numpy", "NumPy"), ("langchain", "LangChain"), ("sqlalchemy", "SQLAlchemy"))
+
+SCHEMA = "root string, ord int, fact string, label string, source string, runs string"
+
+
+def has_python_dependency(text: str, name: str) -> bool:
+    """A requirement of that name on its own, in any manifest's form; comments don't count."""
+    plain = re.sub(r"(?m)#.*$", "", text).lower()
+    own = re.sub(r"[-_.]+", "[-_.]+", re.escape(name.lower()).replace(r"\-", "-"))
+    return bool(re.search(rf"(?m)(?:^|[\"'\s,\[(]){own}(?![\w.-]|\s*\()", plain))
+
+
+def package_manager(manifest: dict, names: set[str]) -> str:
+    declared = str(manifest.get("packageManager") or "").split("@")[0]
+    return declared if declared in ("npm", "pnpm", "yarn", "bun") else next((tool for lock, tool in LOCKFILES if lock in names), "npm")
+
+
+def run_form(tool: str, script: str) -> str:
+    if tool == "npm":
+        return f"npm {script}" if script in ("test", "start") else f"npm run {script}"
+    return f"bun run {script}" if tool == "bun" else f"{tool} {script}"
+
+
+def make_targets(text: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"(?m)^([A-Za-z0-9][\w.-]*)\s*:(?![=:])", text)))
+
+
+def project_facts(files: dict[str, str | None]) -> list[tuple[str, str, str, str | None]]:
+    """(fact, label, source, runs) of one project in order; fact is stack, command or entry. files: base name to text."""
+    stack: dict[str, str] = {}
+    commands: list[tuple[str, str, str | None]] = []
+    entries: list[tuple[str, str]] = []
+    names = set(files)
+    python = [(n, files[n] or "") for n in sorted(names) if n in ("pyproject.toml", "setup.py", "setup.cfg", "Pipfile") or re.fullmatch(r"requirements[\w.-]*\.txt", n)]
+    if python:
+        stack["Python"] = python[0][0]
+        for n, text in python:
+            for name, label in PY_LABELS:
+                if has_python_dependency(text, name):
+                    stack.setdefault(label, n)
+            if m := re.search(r"(?ms)^\[project\.scripts\]\s*$(.*?)(?=^\[|\Z)", text):
+                entries += [(x[0], x[1]) for x in re.findall(r"(?m)^\s*([\w.-]+)\s*=\s*[\"']([^\"']+)[\"']", m[1])]
+    for n, label in (("pubspec.yaml", "Dart"), ("go.mod", "Go"), ("Cargo.toml", "Rust"), ("Gemfile", "Ruby"), ("composer.json", "PHP"), ("Dockerfile", "Docker")):
+        if n in names:
+            stack[label] = n
+            if n == "pubspec.yaml" and re.search(r"(?m)^\s+sdk:\s*flutter\b", files[n] or ""):
+                stack["Flutter"] = n
+    if "package.json" in names:
+        try:
+            manifest = json.loads(files["package.json"] or "")
+        except ValueError:
+            manifest = None
+        if isinstance(manifest, dict):
+            stack["Node.js"] = "package.json"
+            tool = package_manager(manifest, names)
+            if tool != "npm" or "package-lock.json" in names:
+                stack[tool] = "package.json"
+            used = {**(manifest.get("dependencies") or {}), **(manifest.get("devDependencies") or {})}
+            for name, label in JS_LABELS:
+                if name in used:
+                    stack.setdefault(label, "package.json")
+            scripts = manifest.get("scripts") or {}
+            for script, body in scripts.items():
+                hook = re.match(r"(?:pre|post)(.+)", script)
+                if script not in LIFECYCLE and not (hook and hook[1] in scripts):
+                    commands.append((run_form(tool, script), "package.json", str(body)))
+            if isinstance(manifest.get("main"), str):
+                entries.append(("main", manifest["main"]))
+    if "Makefile" in names:
+        commands += [(f"make {t}", "Makefile", None) for t in make_targets(files["Makefile"] or "")]
+    if not commands:
+        tools = (("pubspec.yaml", "flutter test" if "Flutter" in stack else "dart test"), ("go.mod", "go test ./..."), ("Cargo.toml", "cargo test"))
+        commands += [(c, n, None) for n, c in tools if n in names]
+        if "pytest" in stack:
+            commands.append(("pytest", stack["pytest"], None))
+    commands.sort(key=lambda c: CORE.index(w) if (w := re.split(r"[ :]", c[0])[-1]) in CORE else len(CORE))
+    return [("stack", k, v, None) for k, v in stack.items()] + [("command", *c) for c in commands] + [("entry", n, t, None) for n, t in entries]
+
+
+def project_roots(files: DataFrame) -> DataFrame:
+    """Folders other than the top that hold a manifest and are no test folders, outermost first."""
+    path = F.col("path")
+    found = files.filter(paths.basename(path).isin(*MANIFESTS) & (paths.dirname(path) != ".") & ~is_test(path)).select(paths.dirname(path).alias("root")).distinct()
+    return found.orderBy(F.size(F.split("root", "/")), paths.collated(F.col("root")))
+
+
+def facts(manifests: DataFrame) -> DataFrame:
+    """SCHEMA rows for manifests (root, name, text); a label that a root repeats counts once."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = project_facts(dict(zip(frame["name"], frame["text"], strict=True)))
+        out = pd.DataFrame([(frame["root"].iloc[0], k, *r) for k, r in enumerate(rows)], columns=["root", "ord", "fact", "label", "source", "runs"])
+        return out.astype({"ord": "int32"})
+
+    return manifests.select("root", "name", "text").groupBy("root").applyInPandas(run, SCHEMA)
+
+
