@@ -227,6 +227,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
         if labels is not None:
             named = shared.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
             open_ = named.select("block", "node", "label", F.min("label").over(every).alias("low"), F.max("label").over(every).alias("high")).filter("low < high")
+            # only blocks whose rows are not all connected yet are of interest
+            open_ = materialize(open_.select("block", "node", "label"))
+            if not open_.limit(1).count():
+                break
         else:
             open_ = shared.withColumn("label", F.col("node"))
         if turn < PIVOTS:
