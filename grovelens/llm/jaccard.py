@@ -217,7 +217,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
     blocks = docs.select("text").mapInArrow(_blocks(words, percent), "node long, block long")
     every = Window.partitionBy("block")
     shared = blocks.select("block", "node", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).filter("low < high").select("block", "node")
-    shared = materialize(shared.distinct())
+    shared = materialize(shared.distinct().withColumn("others", F.count("*").over(every) - 1))
+    # the text that copies were made from shares most blocks with most of them, and so makes the best pivot
+    degrees = materialize(shared.groupBy("node").agg(F.sum("others").alias("degree")))
+    shared = materialize(shared.drop("others").join(degrees, "node"))
     places = rows.filter("node is not null").join(shared.select("node").distinct(), "node", "left_semi")
     places = materialize(places.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("p")).select("node", "p.doc_id", "p.mark"))
 
@@ -225,18 +228,25 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
     for turn in range(PIVOTS + 1):
         open_ = shared
         if labels is not None:
-            named = shared.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
-            open_ = named.select("block", "node", "label", F.min("label").over(every).alias("low"), F.max("label").over(every).alias("high")).filter("low < high")
+            named = shared.join(labels, "node", "left").select("block", "node", "degree", F.coalesce("label", "node").alias("label"))
+            open_ = named.select("*", F.min("label").over(every).alias("low"), F.max("label").over(every).alias("high")).filter("low < high")
             # only blocks whose rows are not all connected yet are of interest
-            open_ = materialize(open_.select("block", "node", "label"))
+            open_ = materialize(open_.drop("low", "high"))
             if not open_.limit(1).count():
                 break
         else:
             open_ = shared.withColumn("label", F.col("node"))
         if turn < PIVOTS:
-            # one pivot for each block, another one each time
-            first = F.min(F.struct(F.xxhash64(F.lit(turn), "label").alias("o"), F.col("label"), F.col("node"))).over(every) if turn else F.min(F.struct(F.lit(0).alias("o"), F.col("label"), F.col("node"))).over(every)
-            dealt = open_.select("node", "label", first.alias("p")).filter("label <> p.label")
+            # one pivot for each block: the row of the highest degree, then the highest of another component, then by chance
+            mine = F.struct("degree", "node", "label")
+            if turn < 2:
+                open_ = open_.withColumn("p", F.max(mine).over(every))
+            if turn == 1:
+                open_ = open_.withColumn("p", F.max(F.when(F.col("label") != F.col("p.label"), mine)).over(every))
+            if turn > 1:
+                chance = F.struct(F.xxhash64(F.lit(turn), "label"), "degree", "node", "label")
+                open_ = open_.withColumn("p", F.max(chance).over(every))
+            dealt = open_.select("node", "label", "p").filter("label <> p.label")
             found = dealt.select(F.col("p.node").alias("pivot"), "node")
         else:
             x = open_.select("block", "node", "label")
