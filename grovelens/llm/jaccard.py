@@ -33,7 +33,7 @@ from grovelens.llm.shingles import mix, shingle_hashes
 WORDS = 4
 #: Percent.
 THRESHOLD = 85
-PIVOTS = 4
+PIVOTS = 2
 #: Rows that name documents to read again are broadcast up to this number (about 40 bytes each, counted before); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Candidates of one pivot that one task compares.
