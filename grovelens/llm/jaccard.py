@@ -62,9 +62,9 @@ def bands(n: int) -> list[tuple[int, int]]:
 def spare_blocks(d: int, smallest: int) -> int:
     """m: over the number of empty blocks that a set of the smallest size is likely to have among d + m."""
     m = 2
-    for _ in range(30):
+    for _ in range(12):
         mean = (d + m) * exp(-smallest / (d + m))
-        m = max(2, ceil(mean + 3 * sqrt(mean)))
+        m = max(2, ceil(mean + 6 * sqrt(mean)))
     return m
 
 
