@@ -1,22 +1,24 @@
 """Language-model scores: a bigram model in a log-frequency Bloom filter, over exact unigram counts.
 
-Counting covers every training text. A token (word, or the end that closes each text) is frequent if it makes up at least
-one in SHARE of all N training tokens, a bigram likewise; there can be at most SHARE frequent tokens and SHARE frequent
-bigrams, whatever the corpus, and a bigram is frequent only if both its tokens are. Frequent tokens with their counts,
-and the filter with the quantised counts of the frequent bigrams, are therefore of bounded size and are broadcast.
-
-The filter stores a count c as level 1 + floor(log(c SHARE / N) / log(BASE)) by holding the keys (bigram, 1) to
-(bigram, level); it is read by probing level after level until one is missing. Levels thin out by BASE, so it has at most
-SHARE * BASE / (BASE - 1) keys of BITS bits: 19 MB. P(w | h) is the quantised count times a factor of h, which makes the
-history's frequent bigrams sum to their discounted share less DISCOUNT, or, without such a bigram, the unigram probability
-times the history's back-off weight: probabilities of a history sum to one but for the filter's errors (2^-20 a probe).
-
-Rare tokens can't be broadcast: their counts are joined to the texts by a shuffle. No bigram of theirs is frequent, so the
-model needs only their unigram probability, and one pass over the texts settles the rest.
+Counting covers every training text and keeps every bigram. A token (word, or the end that closes each text) is frequent if
+it makes up at least one in SHARE of all N training tokens, a bigram likewise; there can be at most SHARE frequent tokens and
+SHARE frequent bigrams, whatever the corpus, and a bigram is frequent only if both its tokens are. SHARE only decides where a
+count is kept, not whether: frequent tokens with their counts, and the filter with the quantised counts of the frequent
+bigrams, are broadcast; all others are rows of a table that a shuffle joins to the texts.
+
+A count c has the level 1 + floor(log(c) / log(BASE)), in the filter and in the table. The filter holds the keys (bigram, 1) to
+(bigram, level), counted from the level of the rarest frequent bigram, and is read by probing level after level until one is
+missing. P(w | h) is the quantised count times a factor of h, which makes the history's bigrams sum to their discounted share
+less DISCOUNT, or, without such a bigram, the unigram probability times the history's back-off weight: probabilities of a
+history sum to one but for the filter's errors (2^-20 a probe).
+
+Rare tokens are numbered by 60 bits of their MD5, bigrams by the numbers of their tokens. A rare token's own row is found by
+123 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovelens.llm.common import documents, materialize, remainder
@@ -38,6 +40,8 @@ DISCOUNT = 0.005
 #: Different words that a task counts before it hands its counts on, and tokens whose bigrams it counts at a time.
 FLUSH_WORDS = 300_000
 FLUSH_TOKENS = 4_000_000
+#: Numbers from here on are those of rare tokens.
+RARE = 1 << 60
 #: The end token; no word is empty.
 END = b""
 
@@ -66,25 +70,59 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+class Numbers(dict):
+    """Numbers of tokens: the place of a frequent one, else RARE and 60 bits of its MD5; `other` has 63 more bits, negative."""
+
+    def __init__(self, frequent: dict[bytes, int]):
+        super().__init__()
+        self.frequent, self.other = frequent, {}
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.frequent.get(word)
+        if number is None:
+            digest = hashlib.md5(word).digest()
+            number = RARE | int.from_bytes(digest[:8]) >> 4
+            self.other[number] = -1 - (int.from_bytes(digest[8:]) >> 1)
+        self[word] = number
+        return number
+
+    def row(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > FLUSH_WORDS:
+            self.clear()
+            self.other.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _number(word: Column) -> tuple[Column, Column]:
+    """The number of a rare word and its further bits, as Numbers makes them."""
+    bits = lambda at: F.conv(F.substring(F.md5(word.cast("binary")), at, 15), 16, 10).cast("long")
+    last = F.conv(F.substring(F.md5(word.cast("binary")), 32, 1), 16, 10).cast("long")
+    return bits(1) + RARE, -1 - (bits(17) * 8 + F.floor(last / 2))
+
+
+def _pairs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different rows of equally long columns, and how often each occurs."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for k, column in enumerate(columns):
+        key = mix(key ^ column.astype(np.uint64), k)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return first, n
 
 
 def _count_bigrams(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = shared.value
-        end, parts, tokens = np.array([number.get(END, -1)]), [], 0
+        numbers = Numbers(shared.value)
+        end, parts, tokens = numbers.row([END]), [], 0
 
         def out() -> pa.RecordBatch:
-            row = np.concatenate([end, *parts]) if parts else end
+            row = np.concatenate([end, *parts])
             h, w = row[:-1], row[1:]
-            both = (h >= 0) & (w >= 0)
-            codes, n = np.unique(h[both] * size + w[both], return_counts=True)
+            first, n = _pairs(h, w)
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n.astype(np.int64))], names=["code", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(n.astype(np.int64))], names=["h", "w", "n"])
 
         for words in _texts(batches):
-            parts += [_numbers(words, number), end]
+            parts += [numbers.row(words), end]
             tokens += len(words) + 1
             if tokens >= FLUSH_TOKENS:
                 yield out()
@@ -136,18 +174,27 @@ class CountFilter:
 
 
 class Model:
-    """What the scoring tasks need: frequent tokens, their log10 unigram probabilities, each history's factors, the filter."""
+    """What the scoring tasks need: frequent tokens, their log10 unigram probabilities, each history's factors, the filter.
+
+    codes, bigrams: the frequent bigrams and their counts. histories: the discount, and each frequent token's factor and log10
+    back-off weight, of all bigrams; without it they are those of the bigrams given.
+    """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, codes: np.ndarray, bigrams: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, codes: np.ndarray, bigrams: np.ndarray, histories: tuple | None = None):
         self.number = {w: i for i, w in enumerate(words)}
         self.size, self.n = max(1, len(words)), n
         self.whole = np.log10(n + v + 1.0)
-        self.log_count = np.log10(counts + 1.0)
+        self.log_count = np.log10(counts + 1.0) if len(counts) else np.zeros(1)
         single = (counts + 1.0) / (n + v + 1.0)
-        self.filter = CountFilter(mix(codes.astype(np.uint64)), bigrams, max(1.0, n / SHARE))
+        # a level's start, so that levels stand for the same counts in every corpus
+        least = BASE ** np.floor(np.log(max(1.0, n / SHARE)) / np.log(BASE) + 1e-9)
+        self.filter = CountFilter(mix(codes.astype(np.uint64)), bigrams, least)
+        self.log_single = np.log10(single) if len(single) else np.zeros(1)
+        if histories is not None:
+            self.less, self.factor, self.log_backoff = histories
+            return
         h, w = codes // self.size, codes % self.size
-        once, twice = int((bigrams == 1).sum()), int((bigrams == 2).sum())
-        self.less = once / (once + 2 * twice) if once else 0.75
+        self.less = discount(int((bigrams == 1).sum()), int((bigrams == 2).sum()))
         rounded = np.bincount(h, self.worth(self.filter.level(bigrams)), self.size)
         true = np.bincount(h, np.maximum(bigrams - self.less, 0.02 * bigrams), self.size)
         taken = np.bincount(h, single[w] if len(w) else None, self.size)
@@ -155,55 +202,67 @@ class Model:
         self.factor = (1 - DISCOUNT) * true / np.maximum(rounded, 1e-300) / total
         rest = np.maximum(1 - (1 - DISCOUNT) * true / total, DISCOUNT / 2)
         self.log_backoff = np.where(true > 0, np.log10(rest / np.maximum(1 - taken, 1e-12)), 0.0)
-        self.log_single = np.log10(single) if len(single) else np.zeros(1)
 
     def worth(self, levels: np.ndarray) -> np.ndarray:
         """The count of a level after absolute discounting; the discount is estimated from how many bigrams occur once and twice."""
         value = self.filter.value(levels)
         return np.maximum(value - self.less, 0.02 * value)
 
-    def gains(self, row: np.ndarray) -> np.ndarray:
-        """log10 P(token | history) less the token's log10 unigram probability, for all but the first of a row of token numbers."""
+    def found(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """gains() as far as the frequent tokens and bigrams tell, and whether the bigram is in the filter."""
         h, w = row[:-1], row[1:]
-        out = np.where(h >= 0, self.log_backoff[h], 0.0)
-        both = np.flatnonzero((h >= 0) & (w >= 0))
+        frequent = h < RARE
+        out, hit = np.zeros(len(h)), np.zeros(len(h), bool)
+        out[frequent] = self.log_backoff[h[frequent]]
+        both = np.flatnonzero(frequent & (w < RARE))
         codes, where = np.unique(h[both] * self.size + w[both], return_inverse=True)
         levels = self.filter.levels(mix(codes.astype(np.uint64)))
-        there = levels[where] > 0
+        # a false hit on a history without bigrams has factor 0
+        there = (levels[where] > 0) & (self.factor[h[both]] > 0)
         at = both[there]
-        out[at] = np.log10(self.worth(levels[where][there]) * self.factor[h[at]] + 1e-300) - self.log_single[w[at]]
-        # a false hit on a history without frequent bigrams has factor 0
-        wrong = at[self.factor[h[at]] <= 0]
-        out[wrong] = 0.0
-        return out
+        out[at] = np.log10(self.worth(levels[where][there]) * self.factor[h[at]]) - self.log_single[w[at]]
+        hit[at] = True
+        return out, hit
+
+    def gains(self, row: np.ndarray) -> np.ndarray:
+        """log10 P(token | history) less the token's log10 unigram probability, for all but the first of a row of token numbers."""
+        return self.found(row)[0]
+
+
+def discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once else 0.75
 
 
-_SCHEMA = "row long, doc_id long, n_tokens long, known long, log_sum double, gain double, rare array<struct<word:string,n:int>>"
+_SCHEMA = "row long, doc_id long, n_tokens long, known long, log_sum double, gain double, asked array<struct<h:long,w:long,n:int>>"
 
 
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = shared.value, shared.value.number
-        end, base, n = np.array([number.get(END, -1)]), TaskContext.get().partitionId() << 40, 0
+        model = shared.value
+        numbers = Numbers(model.number)
+        base, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = list(_texts([part]))
-                rows = [_numbers(words, number) for words in texts]
-                whole = np.concatenate([end, *[x for r in rows for x in (r, end)]])
-                owner = np.repeat(np.arange(len(texts)), [len(r) + 1 for r in rows])
-                tokens, gains = whole[1:], model.gains(whole)
-                head = tokens >= 0
-                logs = np.where(head, model.log_count[tokens] if len(model.log_count) else 0.0, 0.0)
-                words, counts, cuts = [], [], [0]
-                for text, numbers in zip(texts, rows, strict=True):
-                    rare = Counter(text[i] for i in np.flatnonzero(numbers < 0).tolist())
-                    if end[0] < 0:
-                        rare[END] += 1
-                    words += rare
-                    counts += rare.values()
-                    cuts.append(len(words))
-                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32())], ["word", "n"])
+                end = numbers.row([END])
+                texts = [[*words, END] for words in _texts([part])]
+                flat = [w for words in texts for w in words]
+                tokens = numbers.row(flat)
+                whole = np.concatenate([end, tokens])
+                owner = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+                gains, hit = model.found(whole)
+                head = tokens < RARE
+                logs = np.zeros(len(tokens))
+                logs[head] = model.log_count[tokens[head]]
+                # rare tokens and bigrams that aren't in the filter are asked of the table
+                rare = tokens[~head]
+                other = np.fromiter(map(numbers.other.__getitem__, rare.tolist()), np.int64, len(rare))
+                who, h, w = (np.concatenate(x) for x in ((owner[~head], owner[~hit]), (other, whole[:-1][~hit]), (rare, tokens[~hit])))
+                first, times = _pairs(who, h, w)
+                order = np.argsort(who[first], kind="stable")
+                first, times = first[order], times[order]
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(who[first], minlength=len(texts)))])
+                asked = pa.StructArray.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(times.astype(np.int32))], ["h", "w", "n"])
                 columns = [
                     pa.array(np.arange(base + n, base + n + len(texts))),
                     part.column("doc_id"),
@@ -211,14 +270,25 @@ def _score(shared):
                     pa.array(np.bincount(owner, head, len(texts)).astype(np.int64)),
                     pa.array(np.bincount(owner, logs, len(texts))),
                     pa.array(np.bincount(owner, gains, len(texts))),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), asked),
                 ]
                 n += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "log_sum", "gain", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "log_sum", "gain", "asked"])
 
     return score
 
 
+def _value(c: Column) -> Column:
+    """The count that the level of a count stands for, as in CountFilter."""
+    return F.pow(F.lit(BASE), F.floor(F.ln(c) / F.lit(float(np.log(BASE))) + 1e-9) + 0.5)
+
+
+def _with(rows: DataFrame, column: str, frequent: DataFrame, rare: DataFrame) -> DataFrame:
+    """rows joined by their number `column` to tables of `id`: the frequent one is broadcast, so that no key is hot in the shuffle."""
+    some = rows.filter(F.col(column) < RARE).join(F.broadcast(frequent), F.col(column) == F.col("id")).drop("id")
+    return some.unionByName(rows.filter(F.col(column) >= RARE).join(rare, F.col(column) == F.col("id")).drop("id"))
+
+
 def held_out_text(doc_id: int, modulus: int = 7) -> int:
     """remainder() for one id, for tests."""
     return zlib.crc32(str(doc_id).encode()) % modulus
@@ -239,30 +309,64 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     n, v = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = single.filter(F.col("c") * SHARE >= n).orderBy(F.desc("c"), "word").toArrow()
     words, counts = head.column("word").cast(pa.binary()).to_pylist(), head.column("c").to_numpy()
-    numbers = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, max(1, len(words))))
-    bigrams = train.mapInArrow(_count_bigrams(numbers), "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
-    kept = bigrams.filter(F.col("c") * SHARE >= n).toArrow()
-    model = Model(words, counts.astype(np.float64), n, v, kept.column("code").to_numpy(), kept.column("c").to_numpy().astype(np.float64))
+    size, whole = max(1, len(words)), float(np.log10(n + v + 1.0))
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    number, other = _number(F.col("word"))
+    rare = single.filter(F.col("c") * SHARE < n).select(number.alias("id"), other.alias("other"), F.col("c").alias("cw"))
+    frequent = spark.createDataFrame(pa.table({"id": np.arange(len(words)), "cw": counts.astype(np.int64)}), "id long, cw long")
+    bigrams = train.mapInArrow(_count_bigrams(numbers), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c"))
+    bigrams = materialize(_with(materialize(bigrams), "w", frequent, rare.select("id", "cw")))
+
+    c = F.col("c")
+    histories = bigrams.groupBy("h").agg(
+        F.sum("c").alias("total"),
+        F.count("*").alias("m"),
+        F.count_if(c == 1).alias("once"),
+        F.count_if(c == 2).alias("twice"),
+        F.sum(_value(c)).alias("value"),
+        F.sum(F.col("cw") + F.lit(1.0)).alias("taken"),
+    )
+    histories = materialize(histories)
+    less = discount(*histories.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first())
+    # no discounted count but that of a bigram that occurs once can fall below its fiftieth, and no discounted level at all
+    true = F.col("total") - F.col("m") * F.lit(less) + F.col("once") * F.lit(max(1 - less, 0.02) - (1 - less))
+    part = F.lit(1 - DISCOUNT) * true / F.col("total")
+    factor = part / (F.col("value") - F.col("m") * F.lit(less))
+    rest = F.greatest(1 - part, F.lit(DISCOUNT / 2)) / F.greatest(1 - F.col("taken") / F.lit(n + v + 1.0), F.lit(1e-12))
+    histories = histories.select(F.col("h").alias("id"), factor.alias("factor"), F.log10(rest).alias("backoff"))
+
+    # every training token is the history of a bigram
+    own = histories.filter(F.col("id") < RARE).orderBy("id").toArrow()
+    known = (own.column("factor").to_numpy(), own.column("backoff").to_numpy()) if len(words) else (np.zeros(1), np.zeros(1))
+    kept = bigrams.filter(c * SHARE >= n).select((F.col("h") * size + F.col("w")).alias("code"), "c").toArrow()
+    model = Model(words, counts.astype(np.float64), n, v, kept.column("code").to_numpy(), kept.column("c").to_numpy().astype(np.float64), (less, *known))
+
+    # what a bigram adds to the back-off that its history has anyway
+    rest = _with(bigrams.filter(c * SHARE < n), "h", histories.filter(F.col("id") < RARE), histories.filter(F.col("id") >= RARE))
+    gain = F.log10((_value(c) - F.lit(less)) * F.col("factor")) - F.log10(F.col("cw") + F.lit(1.0)) + F.lit(whole) - F.col("backoff")
+    nothing = F.lit(0.0)
+    rows = rare.join(histories.filter(F.col("id") >= RARE), "id").select(F.col("other").alias("h"), F.col("id").alias("w"), F.log10(F.col("cw") + F.lit(1.0)).alias("log_c"), F.col("backoff").alias("add"))
+    answers = rest.select("h", "w", nothing.alias("log_c"), gain.alias("add")).unionByName(rows)
 
     scored = docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCHEMA)
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    rows = scored.select("row", "doc_id", "n_tokens", "known", "log_sum", "gain", F.posexplode_outer("rare").alias("pos", "r"))
-    # a text without rare words still needs a row; its key is its own, so that such texts spread
+    rows = scored.select("row", "doc_id", "n_tokens", "known", "log_sum", "gain", F.posexplode_outer("asked").alias("pos", "r"))
+    # a text that asks nothing still needs a row; its key is its own, so that such texts spread
     rows = rows.select(
         "row",
-        *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_tokens", "known", "log_sum", "gain")],
-        F.coalesce(F.col("r.word"), F.concat(F.lit("\x00 "), F.col("row").cast("string"))).alias("word"),
+        *[F.when(first, F.col(x)).alias(x) for x in ("doc_id", "n_tokens", "known", "log_sum", "gain")],
+        F.coalesce(F.col("r.h"), F.col("row")).alias("h"),
+        F.coalesce(F.col("r.w"), F.lit(-1)).alias("w"),
         F.coalesce(F.col("r.n"), F.lit(0)).alias("times"),
     )
-    rare = single.filter(F.col("c") * SHARE < n).select("word", "c")
-    joined = rows.join(rare, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
+    joined = rows.join(answers, ["h", "w"], "left")
     out = joined.groupBy("row").agg(
-        *[F.max(x).alias(x) for x in ("doc_id", "n_tokens", "known", "log_sum", "gain")],
-        F.sum(F.col("times") * F.log10(c + F.lit(1.0))).alias("rare_sum"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        *[F.max(x).alias(x) for x in ("doc_id", "n_tokens", "known", "log_sum")],
+        F.coalesce(F.sum(F.col("times") * F.col("log_c")), nothing).alias("rare_sum"),
+        F.sum(F.when((F.col("h") < 0) & F.col("log_c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        (F.max("gain") + F.coalesce(F.sum(F.col("times") * F.col("add")), nothing)).alias("gain"),
     )
-    base = F.col("log_sum") + F.col("rare_sum") - F.col("n_tokens") * F.lit(float(model.whole))
+    base = F.col("log_sum") + F.col("rare_sum") - F.col("n_tokens") * F.lit(whole)
     return out.select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"),

@@ -63,3 +63,18 @@ def test_filter_returns_every_level():
     assert (f.levels(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).sum() <= 2
     ratio = f.value(f.level(counts)) / counts
     assert ratio.min() > 0.85 and ratio.max() < 1.2
+
+
+def test_share_moves_bigrams_but_loses_none(spark, monkeypatch):
+    """Every bigram counts, wherever it is kept: in the filter alone, or nearly all in the table."""
+    rng = random.Random(9)
+    lexicon = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(rng.choices(lexicon, [1 / (i + 1) for i in range(300)], k=rng.randint(1, 80)))) for d in range(200)] + [(None, "w1 w2 new w1"), (900, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for share in (1 << 20, 50):
+        monkeypatch.setattr(lmscore, "SHARE", share)
+        got[share] = sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), r.score) for r in lmscore.score(docs).collect())
+    assert any(abs(g[3] - g[2]) > 1 for g in got[50])
+    for a, b in zip(got[1 << 20], got[50], strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 * max(1, abs(a[3]))
