@@ -4,10 +4,10 @@ Each letter has a random vector of +1 and -1, drawn from its code point. A three
 the vectors of its letters, rotated by two, one and no places; a text is the sum (bundle) of its windows, a language the
 sum of its training texts. A text's language is the one whose vector makes the greatest cosine with the text's.
 
-Bundling is linear, so training only counts windows by language, on the executors; the VOCABULARY most frequent windows
-and their counts make the prototypes, and are all that reaches the driver (VOCABULARY rows with one number for each
-language). Windows of a text outside the vocabulary are quasi-orthogonal to the prototypes and to each other: they add
-nothing to the dot products and their expected share to the text's norm.
+Bundling is linear, so training counts windows by language and sums their vectors on the executors: every window of the
+training rows goes into its language's vector. What reaches the driver is that vector for each language and the codes of the
+windows (8 bytes each). Windows of a text that no training row has are quasi-orthogonal to the prototypes and to each other:
+they add nothing to the dot products and their expected share to the text's norm.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import documents, remainder
+from grovelens.llm.common import documents, materialize, remainder
 
 DIMENSIONS = 1024
-VOCABULARY = 12_288
+#: Vectors of windows that a task keeps.
+VECTORS = 12_288
 #: Training rows for each language: all of them up to about this many, a share drawn by the hash of doc_id beyond it.
 SAMPLE_ROWS = 20_000
 SEED = 6_021
@@ -79,27 +80,50 @@ def window_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """languages in order; codes sorted; vectors: a row for each code; prototypes: a unit row for each language."""
+    """languages in order; codes of all training windows, sorted; prototypes: a unit row for each language."""
 
     languages: list[str]
     codes: np.ndarray
-    vectors: np.ndarray
     prototypes: np.ndarray
 
+    def __post_init__(self):
+        self._slots: np.ndarray | None = None
+
+    def vectors(self, places: np.ndarray) -> np.ndarray:
+        """The vectors of the windows at different places of codes; the last VECTORS or fewer are kept."""
+        dimensions = self.prototypes.shape[1]
+        if len(places) > VECTORS:
+            return window_vectors(self.codes[places], dimensions)
+        if self._slots is None:
+            self._slots, self._kept, self._filled = np.full(len(self.codes), -1, np.int32), np.empty((VECTORS, dimensions), np.int8), 0
+        new = places[self._slots[places] < 0]
+        if self._filled + len(new) > VECTORS:
+            self._slots[:] = -1
+            self._filled, new = 0, places
+        if len(new):
+            self._slots[new] = np.arange(self._filled, self._filled + len(new))
+            self._kept[self._slots[new]] = window_vectors(self.codes[new], dimensions)
+            self._filled += len(new)
+        return self._kept[self._slots[places]]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes, owner = windows([x or "" for x in texts])
-        n, size = len(texts), max(1, len(self.codes))
-        known = np.zeros((n, size), np.float32)
-        place = np.minimum(np.searchsorted(self.codes, codes), size - 1) if len(self.codes) else np.zeros(len(codes), np.int64)
+        n = len(texts)
+        place = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
         found = self.codes[place] == codes if len(self.codes) else np.zeros(len(codes), bool)
-        known = np.bincount(owner[found] * size + place[found], minlength=n * size).reshape(n, size).astype(np.float32)
-        used = np.flatnonzero(known.any(0))
-        bundles = known[:, used] @ self.vectors[used].astype(np.float32)
+        used, where = np.unique(place[found], return_inverse=True)
+        bundles = np.zeros((n, self.prototypes.shape[1]), np.float32)
+        # a text of many windows takes them in parts
+        for at in range(0, len(used), VECTORS):
+            some = (where >= at) & (where < at + VECTORS)
+            size = min(VECTORS, len(used) - at)
+            known = np.bincount(owner[found][some] * size + where[some] - at, minlength=n * size).reshape(n, size).astype(np.float32)
+            bundles += known @ self.vectors(used[at : at + size]).astype(np.float32)
         strange = np.zeros(n)
         if not found.all():
             pairs, counts = np.unique(np.stack([owner[~found], codes[~found]]), axis=1, return_counts=True)
             np.add.at(strange, pairs[0], counts.astype(np.float64) ** 2)
-        norms = np.sqrt((bundles.astype(np.float64) ** 2).sum(1) + strange * self.vectors.shape[1])
+        norms = np.sqrt((bundles.astype(np.float64) ** 2).sum(1) + strange * self.prototypes.shape[1])
         cosines = (bundles @ self.prototypes.T) / np.maximum(norms, 1e-9)[:, None]
         letters = np.bincount(owner, minlength=n)[:n] > 0
         best = cosines.argmax(1) if self.languages else np.zeros(n, int)
@@ -117,29 +141,45 @@ def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
 
 
-def learn(rows: DataFrame, vocabulary: int = VOCABULARY, sample_rows: int = SAMPLE_ROWS, dimensions: int = DIMENSIONS) -> Profiles:
+def _bundles(dimensions: int):
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                langs, counts = np.array(part.column("lang").to_pylist(), object), part.column("n").to_numpy().astype(np.float64)
+                vectors = window_vectors(part.column("code").to_numpy(), dimensions)
+                for lang in dict.fromkeys(langs):
+                    rows = np.flatnonzero(langs == lang)
+                    sums[lang] = sums.get(lang, 0.0) + counts[rows] @ vectors[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "bundle"])
+
+    return bundle
+
+
+def _sum_bundles(table: pa.Table) -> pa.Table:
+    total = np.sum(table.column("bundle").to_pylist(), 0)
+    return pa.table({"lang": table.column("lang").slice(0, 1), "bundle": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
+def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = DIMENSIONS) -> Profiles:
     """Profiles from rows (doc_id, text, lang); rows with a null among them are left out."""
     rows = rows.select("doc_id", "text", "lang").dropna()
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, dimensions), np.int8), np.zeros((0, dimensions), np.float32))
+        return Profiles([], np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))])
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     counts = drawn.select("text", "lang").mapInArrow(_window_counts, "lang string, code long, n long")
-    by_code = counts.groupBy("code", "lang").agg(F.sum("n").alias("n")).groupBy("code").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top = sorted(by_code.orderBy(F.desc("total"), "code").limit(vocabulary).collect(), key=lambda r: r["code"])
-    codes = np.array([r["code"] for r in top], np.int64)
-    vectors = window_vectors(codes, dimensions)
-    number = {lang: k for k, lang in enumerate(languages)}
-    weights = np.zeros((len(languages), len(codes)))
-    for k, r in enumerate(top):
-        for x in r["by"]:
-            weights[number[x["lang"]], k] = x["n"]
-    weights /= np.maximum(weights.sum(1, keepdims=True), 1)
-    prototypes = weights @ vectors
+    counts = materialize(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    codes = np.sort(counts.select("code").distinct().toArrow().column("code").to_numpy())
+    # sums of whole numbers: their order doesn't matter
+    summed = counts.mapInArrow(_bundles(dimensions), "lang string, bundle array<double>").groupBy("lang").applyInArrow(_sum_bundles, "lang string, bundle array<double>")
+    bundles = {r["lang"]: r["bundle"] for r in summed.collect()}
+    prototypes = np.array([bundles.get(lang, [0.0] * dimensions) for lang in languages])
     prototypes /= np.maximum(np.sqrt((prototypes**2).sum(1, keepdims=True)), 1e-12)
-    return Profiles(languages, codes, vectors, prototypes.astype(np.float32))
+    return Profiles(languages, codes, prototypes.astype(np.float32))
 
 
 def _predictor(model):

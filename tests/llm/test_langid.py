@@ -55,3 +55,18 @@ def test_windows_do_not_cross_texts():
     codes, owner = langid.windows(["ab", "", "x\x00y", "1 2"])
     back = ["".join(chr(int(c) >> s & 0x1FFFFF) for s in (42, 21, 0)) for c in codes]
     assert list(zip(back, owner.tolist(), strict=True)) == [(" ab", 0), ("ab ", 0), (" x ", 2), (" y ", 2)]
+
+
+def test_no_language_is_crowded_out(spark, monkeypatch):
+    """A language of few rows beside one with over 20,000 more frequent windows; nor does it matter how many vectors a task keeps."""
+    rng = random.Random(6)
+    crowd = ["".join(chr(rng.randrange(0x4E00, 0x8E00)) for _ in range(210)) for _ in range(100)]
+    rows = [(i, text, "zh") for i, text in enumerate(crowd * 3)] + [(1000, "ab cde fghij klmno", "xx")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.codes) > 20_000
+    texts = ["ab cde fghij", *crowd[:3]]
+    langs, scores = model.predict(texts)
+    assert langs == ["xx", "zh", "zh", "zh"] and scores[0] > 0.5
+    monkeypatch.setattr(langid, "VECTORS", 50)
+    again = langid.Profiles(model.languages, model.codes, model.prototypes).predict(texts)
+    assert again[0] == langs and abs(again[1] - scores).max() < 1e-5
