@@ -245,9 +245,19 @@ def suffix_match(spark, d):
 c AS (SELECT m.p_partkey, p_name AS best, least(levenshtein(name, p_name)::DOUBLE, CASE WHEN starts_with(name, p_name) OR starts_with(p_name, name) THEN 1 + abs(length(name) - length(p_name)) / 100.0 END) AS distance FROM m JOIN part USING (p_brand))
 SELECT p_partkey, best, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, best) AS rank FROM c WHERE distance <= 3) WHERE rank = 1""")
 def nearest_name(spark, d):
+    return _nearest_name(spark, d, read(spark, d, "part").filter("p_partkey % 20 = 0"))
+
+
+@query()
+def nearest_name_all(spark, d):
+    """nearest_name for every part."""
+    return _nearest_name(spark, d, read(spark, d, "part"))
+
+
+def _nearest_name(spark, d, parts: DataFrame) -> DataFrame:
     part = read(spark, d, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.expr("substring(p_name, 2)")).otherwise(F.concat("p_name", F.lit("x")))
-    asked = part.filter("p_partkey % 20 = 0").select("p_brand", "p_partkey", name.alias("name"))
+    asked = parts.select("p_brand", "p_partkey", name.alias("name"))
     # options are compared within a directory only, here a brand
     pairs = asked.join(part.select("p_brand", F.col("p_name").alias("best")), "p_brand")
     near = pairs.withColumn("distance", text.closeness(F.col("name"), F.col("best"))).filter("distance <= 3")
