@@ -236,7 +236,17 @@ def deepest_root(spark, d):
 
 @query(f"WITH {PATHS}, q AS (SELECT DISTINCT regexp_extract(url, '([^/?#]+)([?#].*)?$', 1) AS name FROM pages WHERE page_id % 5 = 0) SELECT name, count(DISTINCT path) AS n FROM q JOIN p ON path = name OR path LIKE '%/' || name GROUP BY name")
 def suffix_match(spark, d):
-    asked = read(spark, d, "pages").filter("page_id % 5 = 0").select(F.regexp_extract("url", r"([^/?#]+)([?#].*)?$", 1).alias("name")).distinct()
+    return _suffix_match(spark, d, read(spark, d, "pages").filter("page_id % 5 = 0"))
+
+
+@query()
+def suffix_match_all(spark, d):
+    """suffix_match for the names of every page."""
+    return _suffix_match(spark, d, read(spark, d, "pages"))
+
+
+def _suffix_match(spark, d, pages: DataFrame) -> DataFrame:
+    asked = pages.select(F.regexp_extract("url", r"([^/?#]+)([?#].*)?$", 1).alias("name")).distinct()
     index = page_paths(spark, d).select("path").distinct().select("path", F.explode(paths.suffixes(F.col("path"))).alias("name"))
     return index.join(asked, "name").groupBy("name").agg(F.count("*").alias("n"))
 

@@ -1,6 +1,7 @@
 """Name lookups for every row, against brute force."""
 
 import random
+import re
 
 from grovelens.plans import catalogue
 
@@ -32,3 +33,14 @@ def test_nearest_name_of_every_part(spark, tmp_path):
             want[key] = min(near)
     got = {r.p_partkey: (r.distance, r.best) for r in catalogue.QUERIES["nearest_name_all"](spark, str(tmp_path)).collect()}
     assert got == want and any(k % 20 for k in got)
+
+
+def test_suffixes_of_every_page(spark, tmp_path):
+    rng = random.Random(4)
+    urls = ["https://h.org/" + "/".join(rng.choices(["a", "b", "c.html", "d"], k=rng.randint(1, 4))) + rng.choice(["", "?q=1", "#x"]) for _ in range(60)] + ["https://h.org/only/here"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls, 1)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    paths = {re.sub("^[a-z]+://[^/?#]*", "", re.sub("[?#].*", "", u)).lstrip("/") for u in urls}
+    names = {re.search("([^/?#]+)([?#].*)?$", u)[1] for u in urls}
+    want = {n: sum(p == n or p.endswith(f"/{n}") for p in paths) for n in names}
+    got = {r.name: r.n for r in catalogue.QUERIES["suffix_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {n: c for n, c in want.items() if c} and got["here"] == 1
