@@ -1,13 +1,14 @@
 r"""License scans: ordered signature rules over a text's words.
 
 A text is reduced to its words, A-Z lower-cased, joined by single spaces, and each rule is a regular expression over that
-string. Rules are gated twice: a text without any of the GATES' words is not normalised at all, and a rule runs only where
+string. Rules are gated twice: a text without any word of gates() is not normalised at all, and a rule runs only where
 its keyword occurs. Of overlapping detections, one that lies within a detection of higher priority (or of the same, if it
 is shorter or comes later) is suppressed. Everything is a column expression; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -132,10 +133,35 @@ def rule_table() -> tuple[Rule, ...]:
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
 
-#: A text without any of these, A-Z lower-cased, holds no phrase and no rule's match. `cc` counts as a word of its own.
+#: Parts of words that most rules need, A-Z lower-cased; gates() adds what the others need. `cc` counts as a word of its own.
 GATES = ("licen", "spdx", "gpl", "cc0", "copyright", "warrant", "hereby", "redistribut", "public domain", "creative", "mozilla", "bsd", "mpl", "unlicense", "wtfpl", "reserved", "proprietary", "endorse", "advertising", "opensource", "gnu", "domain", "ofl", "attribution")
 LONE = r"(?<![a-z0-9\x{80}-\x{10FFFF}])cc(?![a-z0-9\x{80}-\x{10FFFF}])"
 
+
+def _needed(pattern: str) -> list[str]:
+    """Words, or parts of words, that every match of a pattern holds."""
+    if "\\" in pattern:
+        return []
+    plain = re.sub(r"\[[^\]]*\]", "\x00", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "\x00", plain)) != plain:
+        plain = inner
+    if "|" in plain:
+        return []
+    return re.sub(r".(?:[?*]|\{[^}]*\})|[\x00.^$+]", " ", plain).split()
+
+
+def gates(rules: tuple[Rule, ...], phrases: tuple[tuple[str, str], ...]) -> tuple[str, ...] | None:
+    """GATES and the keywords of rules and phrases whose matches may hold none of them; None if no text can be ruled out."""
+    more = []
+    for words, keyword in [*((_needed(r.pattern), r.keyword) for r in rules), *((p.split(), max(p.split(), key=len, default="")) for p, _ in phrases)]:
+        if not any(w == "cc" or g in w for w in words for g in GATES):
+            word = max(keyword.split(), key=len, default="")
+            if not word or not word.isascii():
+                return None
+            more.append(word)
+    return tuple(dict.fromkeys((*GATES, *more)))
+
+
 _HIT = "array<struct<start:int,end:int,label:string,priority:int,confidence:double>>"
 
 
@@ -162,8 +188,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None, phrases: tuple[
     rules = rule_table() if rules is None else rules
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     low = F.lower("body")
-    gate = F.lit(False)
-    for g in GATES:
+    given = gates(rules, phrases)
+    gate = F.lit(given is None)
+    for g in given or ():
         gate = gate | F.contains(F.col("low"), F.lit(g))
     gate = gate | (F.contains(F.col("low"), F.lit("cc")) & F.col("low").rlike(LONE))
     df = df.withColumn("low", low).withColumn("asked", gate)

@@ -131,6 +131,32 @@ def test_license_containment(spark):
     assert len(licenses.rule_table()) > 200
 
 
+def sample(pattern):
+    """A text that a rule's pattern matches: first choices, without what is optional."""
+    pattern = pattern.replace("(?:[^ ]+ ){1,12}", "holder ")
+    while (m := re.search(r"\(\?:([^()]*)\)(\??)", pattern)) is not None:
+        pattern = pattern[: m.start()] + ("" if m[2] else m[1].split("|")[0]) + pattern[m.end() :]
+    return re.sub(r".\?", "", re.sub(r"\[(.)[^\]]*\]", r"\1", pattern))
+
+
+def test_every_rule_passes_the_gates(spark):
+    rules = licenses.rule_table()
+    texts = [sample(r.pattern) for r in rules]
+    assert all(re.fullmatch(r.pattern, t) for r, t in zip(rules, texts, strict=True))
+    texts += ["https://www.eclipse.org/legal/epl-v10.html", "https://www.eclipse.org/legal/epl-2.0/"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.summarise(licenses.scan(df)).collect()}
+    assert all(got[i] != {""} for i in got), [texts[i] for i in got if got[i] == {""}]
+    assert got[len(rules)] == {"epl-1.0"} and got[len(rules) + 1] == {"epl-2.0"}
+
+
+def test_own_rules_pass_the_gates(spark):
+    rules = (licenses.Rule("a", "(?:alpha|beta) grant", "grant", 1, 0.9), licenses.Rule("b", "use (?:licensed )?freely", "freely", 1, 0.9))
+    df = spark.createDataFrame([(1, "the Beta grant"), (2, "use freely"), (3, "zeta phrase"), (4, "none")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.summarise(licenses.scan(df, rules, (("zeta phrase", "z"),))).collect()}
+    assert got == {1: "a", 2: "b", 3: "z", 4: ""}
+
+
 def shingles(text):
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
