@@ -13,8 +13,12 @@ from pyspark.sql.types import LongType
 #: The contracts' word separators: space and \t \n \x0b \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 
+#: Keys with more rows than this are split off by skew_join; the limit doubles until at most HOT_KEYS keys exceed it.
+HOT_ROWS = 1_000
+HOT_KEYS = 500_000
+
 _own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +42,30 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/grovelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._grovelens_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for table in tables:
+        path = table._grovelens_path
+        _delete(_written.pop(path), path)
 
 
 def release() -> None:
     """Delete the tables that materialize() wrote; frames that read them can't be used afterwards."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit; the files are then left behind
             return
 
@@ -69,3 +86,40 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text, with the further columns asked for; all others, whatever their names, are left out."""
     return df.select(F.col("doc_id").cast(LongType()).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no frame has a column that differs from it by case alone."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for each key, without sending all rows of a hot key to one task.
+
+    left is read up to three times, so it should be a written table or cheap. Keys of more than HOT_ROWS rows are counted
+    first (with partial sums); their rows of right, HOT_KEYS at most, are broadcast, and all others are joined by a shuffle.
+    Null keys match nothing and stay where they are: an inner join leaves them out, a left join keeps them.
+    """
+    given = left.filter(F.col(on).isNotNull())
+    many = free_name("many", left)
+    hot = materialize(given.groupBy(on).agg(F.count("*").alias(many)).filter(F.col(many) > HOT_ROWS))
+    limit, keys = HOT_ROWS, hot.count()
+    while keys > HOT_KEYS:
+        limit *= 2
+        keys = hot.filter(F.col(many) > limit).count()
+    if keys:
+        some = F.broadcast(hot.filter(F.col(many) > limit).select(on))
+        cold = given.join(some, on, "left_anti").join(right, on, how)
+        joined = cold.unionByName(given.join(F.broadcast(right.join(some, on, "left_semi")), on, "inner"))
+        if how == "left":
+            # hot keys that right lacks
+            lacking = given.join(some, on, "left_semi").join(F.broadcast(right.join(some, on, "left_semi")), on, "left_anti")
+            joined = joined.unionByName(lacking, allowMissingColumns=True)
+    else:
+        joined = given.join(right, on, how)
+    if how == "left":
+        joined = joined.unionByName(left.filter(F.col(on).isNull()), allowMissingColumns=True)
+    return joined

@@ -1,98 +1,67 @@
-"""N-gram Jaccard join: blocked sparse incidence of documents by word shingles, exact for every pair of different texts.
-
-Two texts link when their shingle sets' Jaccard similarity is at least THRESHOLD (a fraction of integers, compared
-exactly). Sets of sizes a and b that link differ in at most d = (a + b) * (1 - t) / (1 + t) shingles. So the columns of the
-incidence matrix (shingles, by hash) are cut into K = d + m blocks, for d of the largest sizes that a band of sizes allows:
-at least m blocks of two linking rows are then equal. Each row is reduced to one hash for each block, rows that share
-one are candidates, and a candidate pair's overlap is counted exactly. In contrast to counting shared shingles, a passage
-that thousands of documents share makes no candidates: its shingles spread over the blocks and each block holds others
-too. Blocks that are empty say nothing and are left out; a row with m or more empty ones adds a hash for every m of them.
-
-Texts with equal sets are one node from the start. Candidates are verified against one pivot of their block at a time, and
-only where pivot and candidate are not connected yet, so a group of n near copies costs about n comparisons instead of
-n^2; what is left after PIVOTS rounds is compared pair by pair, so that no link between different texts is lost.
-Intermediate tables are written to spark.checkpoint.dir; nothing that grows with the documents reaches the driver.
+"""N-gram Jaccard join: a blocked sparse product of the incidence matrix of documents by word shingles, exact for every pair.
+
+Two texts link when their shingle sets' Jaccard similarity is at least THRESHOLD percent (integers, compared exactly). Equal
+sets are one row of the matrix from the start. A row of n shingles needs need(n) = ceil(t * n) of them in common with any
+other row that links, so whatever order the columns have, a link shows within its first n - need(n) + 1 of them, and at
+least l columns in common show within the first n - need(n) + l. From that follow three bounds, each of which drops rows or
+pairs before they cost anything, and none of which can drop a link:
+
+1. of the first n - need(n) + l(n) columns by hash, at least l(need(n)) must also be some other row's; this leaves about a
+   sixth of all rows' elements, and no text was moved for it;
+2. of all columns of what is left, need(n) must also be another row's; rows of shared passages and chance go here;
+3. columns of what is left are ordered by document frequency, rarest first. Only rows that share one of their first
+   n - need(n) + 1 columns are multiplied, so a passage that thousands of documents share makes no candidates.
+
+Products are taken block by block: rows are dealt into blocks of bounded size, a task multiplies two of them, and overlap
+counts accumulate over groups of columns, rarest first; after each, pairs whose count can't reach (n + m) * t / (1 + t) any
+more are discarded. A task hands on a forest of its links, not the pairs. The rows of one column are first multiplied with
+one of them only (STARS rounds), which connects most of a group of near copies at the cost of one product a row; then what is
+not connected yet is multiplied whole, so that no link between different texts is lost.
+
+Intermediate tables are written to spark.checkpoint.dir; nothing that grows with the documents reaches the driver. Joins by
+column, row or component split off hot keys (skew_join).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from grovelens.llm.common import documents, materialize
+from grovelens.llm.common import discard, documents, free_name, materialize, skew_join
 from grovelens.llm.shingles import mix, shingle_hashes
 
 WORDS = 4
 #: Percent.
 THRESHOLD = 85
-PIVOTS = 2
+#: l(n) as a percentage of n: more emits more columns for the first bound and leaves fewer rows.
+SPARE = 10
+STARS = 2
 #: Rows that name documents to read again are broadcast up to this number (about 40 bytes each, counted before); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Candidates of one pivot that one task compares.
-PER_TASK = 2_000
-#: Sizes of a band grow by half.
-GROWTH = 1.5
+#: Rows, and elements on the average, of a block.
+BLOCK_ROWS = 1_000
+BLOCK_ELEMENTS = 1_000_000
+#: Elements of two blocks that are multiplied one by one at a time, and columns that are multiplied as a dense matrix at a time.
+STEP = 4_000_000
+COLUMNS = 512
 
 
-def differences(a: int, b: int, percent: int) -> int:
-    """The most elements in which sets of sizes a and b may differ and still link."""
-    return (a + b) * (100 - percent) // (100 + percent)
+def need(n, percent: int):
+    """The least overlap of a set of n shingles with any set that it links with; n is a number, an array or a column."""
+    return F.expr(f"({percent} * {n} + 99) div 100") if isinstance(n, str) else (percent * n + 99) // 100
 
 
-def bands(n: int) -> list[tuple[int, int]]:
-    """Bands (smallest, largest size) from 1 up to the one that holds n, and the next one."""
-    out, low = [], 1
-    while True:
-        high = max(low, int(low * GROWTH) - 1)
-        out.append((low, high))
-        if low > n:
-            return out
-        low = high + 1
-
-
-@lru_cache(maxsize=4096)
-def spare_blocks(d: int, smallest: int) -> int:
-    """m: over the number of empty blocks that a set of the smallest size is likely to have among d + m."""
-    m = 2
-    for _ in range(12):
-        mean = (d + m) * exp(-smallest / (d + m))
-        m = max(2, ceil(mean + 6 * sqrt(mean)))
-    return m
-
-
-def block_hashes(s: np.ndarray, percent: int = THRESHOLD) -> np.ndarray:
-    """The block hashes of one set, for the pairs whose larger set lies in its own band and, where one can, in the next."""
-    n, out = len(s), []
-    weights = mix(s, 7)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights, dtype=np.uint64)])
-    found = bands(n)
-    for k in (len(found) - 2, len(found) - 1):
-        low, high = found[k]
-        if k == len(found) - 1 and n * 100 < low * percent:
-            continue
-        d = differences(high, high, percent)
-        if d < 1:
-            continue  # only equal sets link
-        spare = spare_blocks(d, max(1, low * percent // 100))
-        size = d + spare
-        where = ((s >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-        cuts = np.searchsorted(where, np.arange(size + 1, dtype=np.uint64))
-        number = np.arange(size, dtype=np.uint64) + np.uint64(k * 1_000_003)
-        full = cuts[1:] > cuts[:-1]
-        out.append(mix((sums[cuts[1:]] - sums[cuts[:-1]] + mix(number, 3))[full], 5))
-        empty = np.flatnonzero(~full)
-        if len(empty) >= spare:
-            sets = np.array(list(combinations(number[empty].tolist(), spare)), np.uint64)
-            out.append(mix(mix(sets, 11).sum(1, dtype=np.uint64), 13))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def spare(n: int) -> int:
+    """l(n)."""
+    return max(1, n * SPARE // 100)
+
+
+def _spare(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(n * SPARE / 100)).cast("long")
 
 
 def set_number(s: np.ndarray) -> int:
@@ -100,36 +69,36 @@ def set_number(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s, 17).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 19)[0] >> np.uint64(1))
 
 
-def _rows(words: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_hashes(text or b"", words) for text in part.column("text").cast(pa.binary()).to_pylist()]
-                numbers = pa.array([set_number(s) if len(s) else None for s in sets], pa.int64())
-                columns = [part.column("doc_id"), part.column("mark"), numbers, pa.array(map(len, sets), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n_shingles"])
+def head(s: np.ndarray, percent: int) -> np.ndarray:
+    """The columns of the first bound; none for a set so small that only its equals link with it."""
+    n = len(s)
+    return s[: n - need(n, percent) + spare(n)] if 100 * n >= percent * (n + 1) else s[:0]
 
-    return rows
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def _blocks(words: int, percent: int):
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # sets of this task whose hashes are out; a task's rows bound it
+def _rows(words: int, percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # sets of this task whose heads are out; a task's rows bound it
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                nodes, hashes = [], []
-                for text in batch.column("text").slice(at, 256).cast(pa.binary()).to_pylist():
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                nodes, sizes, heads = [], [], []
+                for text in part.column("text").cast(pa.binary()).to_pylist():
                     s = shingle_hashes(text or b"", words)
-                    if not len(s) or (node := set_number(s)) in seen:
-                        continue
+                    node = set_number(s) if len(s) else None
+                    nodes.append(node)
+                    sizes.append(len(s))
+                    heads.append(s[:0] if node in seen else head(s, percent))
                     seen.add(node)
-                    hashes.append(block_hashes(s, percent).view(np.int64))
-                    nodes.append(np.full(len(hashes[-1]), node, np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(hashes))], names=["node", "block"])
+                columns = [part.column("doc_id"), part.column("mark"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(heads)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n_shingles", "head"])
 
-    return blocks
+    return rows
 
 
 def _sets(words: int):
@@ -137,49 +106,130 @@ def _sets(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bodies = [shingle_hashes(x or b"", words) for x in part.column("text").cast(pa.binary()).to_pylist()]
-                right = [set_number(s) == node if len(s) else False for s, node in zip(bodies, part.column("node").to_pylist(), strict=True)]
-                kept = part.filter(pa.array(right))
-                columns = [kept.column(c) for c in ("pivot", "share", "node", "is_pivot")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s, ok in zip(bodies, right, strict=True) if ok], pa.binary())], names=["pivot", "share", "node", "is_pivot", "elements"])
+                nodes, found = [], []
+                for text, node in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("node").to_pylist(), strict=True):
+                    s = shingle_hashes(text or b"", words)
+                    if len(s) and set_number(s) == node:  # else another text of the same hash
+                        nodes.append(node)
+                        found.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(found)], names=["node", "elements"])
 
     return sets
 
 
-def _overlaps(percent: int):
-    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for p, share, node, order, elements in zip(*[batch.column(c).to_pylist() for c in ("pivot", "share", "node", "is_pivot", "elements")], strict=True):
-                s = np.frombuffer(elements, np.uint64)
-                if not order:  # the pivot's own row comes first
-                    key, pivot = (p, share), s
-                elif key == (p, share):
-                    small, large = sorted((len(s), len(pivot)))
-                    if small * 100 < large * percent:
-                        continue
-                    common = len(np.intersect1d(s, pivot, assume_unique=True))
-                    if 100 * common >= percent * (small + large - common):
-                        a.append(p)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return overlaps
-
-
-def verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (pivot, node) of pairs that link, as (a, b). places: (node, doc_id, mark) of one row for each node."""
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("shares"))
-    cand = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node", F.lit(1).alias("is_pivot"))
-    own = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("node"), F.lit(0).alias("is_pivot"))
-    wanted = materialize(cand.unionByName(own).join(places, "node"))
-    given = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = given.join(side, (F.col("t") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    sets = texts.select("pivot", "share", "node", "is_pivot", "text").mapInArrow(_sets(words), "pivot long, share int, node long, is_pivot int, elements binary")
-    dealt = sets.repartition("pivot", "share").sortWithinPartitions("pivot", "share", "is_pivot")
-    return dealt.mapInArrow(_overlaps(percent), "a long, b long")
+class Block:
+    """Rows of the incidence matrix: their nodes, labels and sizes, and their elements as (row, column) entries."""
+
+    def __init__(self, table: pa.Table):
+        self.nodes, self.labels, self.n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        elements = table.column("elements").combine_chunks()
+        self.columns = np.asarray(elements.flatten())
+        self.rows = np.repeat(np.arange(len(self.n)), np.asarray(elements.value_lengths()))
+
+    def number(self, columns: np.ndarray) -> Block:
+        """Columns numbered by their place in `columns`, others left out, entries by column."""
+        at = np.minimum(np.searchsorted(columns, self.columns), len(columns) - 1)
+        kept = columns[at] == self.columns if len(columns) else np.zeros(0, bool)
+        order = np.argsort(at[kept], kind="stable")
+        self.columns, self.rows = at[kept][order], self.rows[kept][order]
+        return self
+
+
+def multiply(x: Block, y: Block, percent: int) -> np.ndarray:
+    """Which rows of x and y with different labels link: a matrix of truth values.
+
+    Counts accumulate from the rarest column to the most frequent. Before the first group of columns and after each, a pair
+    is kept only if its count and the columns that both rows still have can reach its bound; rows without a pair go.
+    """
+    shared = np.intersect1d(x.columns, y.columns)
+    x.number(shared)
+    y.number(shared)
+    a, b = np.bincount(x.columns, minlength=len(shared)), np.bincount(y.columns, minlength=len(shared))
+    order = np.argsort(a * b, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    a, b = a[order], b[order]
+    sides = []
+    for block in (x, y):
+        columns = place[block.columns]
+        by = np.argsort(columns, kind="stable")
+        sides.append((columns[by], block.rows[by]))
+    (xc, xr), (yc, yr) = sides
+    bound = -(-(x.n[:, None] + y.n[None, :]) * percent // (100 + percent))
+    alive = x.labels[:, None] != y.labels[None, :]
+    counts = np.zeros(alive.shape, np.int32)
+    left_x, left_y = np.bincount(xr, minlength=len(x.n)), np.bincount(yr, minlength=len(y.n))
+    # products of entries pay where they are far fewer than those of a dense column
+    work = np.cumsum(a * b)
+    thin = int(np.searchsorted(a * b * 8, alive.size, "right"))
+    low = 0
+    while True:
+        alive &= counts + np.minimum(left_x[:, None], left_y[None, :]) >= bound
+        if low == len(shared) or not alive.any():
+            break
+        if low < thin:
+            high = max(low + 1, min(thin, int(np.searchsorted(work, (work[low - 1] if low else 0) + STEP, "right"))))
+        else:
+            high = min(len(shared), low + COLUMNS)
+        xs, ys = slice(*np.searchsorted(xc, (low, high))), slice(*np.searchsorted(yc, (low, high)))
+        np.subtract(left_x, np.bincount(xr[xs], minlength=len(x.n)), out=left_x)
+        np.subtract(left_y, np.bincount(yr[ys], minlength=len(y.n)), out=left_y)
+        if low < thin:
+            times = b[xc[xs]]
+            first = ys.start + np.concatenate([[0], np.cumsum(b[low:high])])[xc[xs] - low]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = np.repeat(xr[xs], times) * len(y.n) + yr[np.repeat(first, times) + within]
+            counts += np.bincount(at, minlength=alive.size).reshape(alive.shape).astype(np.int32)
+        else:
+            rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            dense = []
+            for size, kept, r, c in ((len(x.n), rows, xr[xs], xc[xs]), (len(y.n), columns, yr[ys], yc[ys])):
+                ones = np.zeros((size, high - low), np.float32)
+                ones[r, c - low] = 1
+                dense.append(ones[kept])
+            counts[np.ix_(rows, columns)] += (dense[0] @ dense[1].T).astype(np.int32)
+        low = high
+    return alive  # after the last column, the counts themselves reach the bound
+
+
+def forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes, fewer than there are nodes, that connect what `linked` connects."""
+    rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    linked, nodes = linked[np.ix_(rows, columns)], np.concatenate([a[rows], b[columns]])
+    _, name = np.unique(nodes, return_inverse=True)  # a node may be on both sides
+    x, y, none = name[: len(rows)], name[len(rows) :], len(nodes)
+    best = np.arange(none)
+    while True:
+        before = best.copy()
+        near_x, near_y = np.where(linked, best[y][None, :], none), np.where(linked, best[x][:, None], none)
+        np.minimum.at(best, x, near_x.min(1, initial=none))
+        np.minimum.at(best, y, near_y.min(0, initial=none))
+        best = best[best]
+        if (best == before).all():
+            break
+    own = np.empty(none, np.int64)
+    own[name] = nodes
+    ids = np.flatnonzero(best != np.arange(none))
+    return own[best[ids]], own[ids]
+
+
+def _products(percent: int):
+    def products(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        x = Block(table.filter(pa.array(side == 0)))
+        y = Block(table.filter(pa.array(side == 1))) if side.any() else Block(table)
+        if not len(x.n):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = forest(multiply(x, y, percent), x.nodes, y.nodes)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return products
+
+
+def products(tasks: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect the links found by tasks (pivot, i, j, side, node, label): side 0 times side 1, or side 0 with itself."""
+    rows = tasks.join(matrix.select("node", "n", "elements"), "node")
+    return materialize(rows.groupBy("pivot", "i", "j").applyInArrow(_products(percent), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,16 +239,94 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
     edges = materialize(both.filter("x <> y").distinct())
-    labels = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label"))
-    labels = materialize(labels)
+    labels = materialize(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
-        jump = step.join(labels.select(F.col("node").alias("next"), F.col("label").alias("after")), "next", "left")
+        near = skew_join(edges, labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        step = materialize(labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next")))
+        jump = skew_join(step, labels.select(F.col("node").alias("next"), F.col("label").alias("after")), "next", "left")
         moved = materialize(jump.select("node", F.least("next", "after").alias("label"), (F.least("next", "after") < F.col("label")).alias("moved")))
-        labels = moved.select("node", "label")
+        discard(labels, step)
+        labels = moved
         if not moved.filter("moved").limit(1).count():
-            return labels
+            discard(edges)
+            return moved.select("node", "label")
+
+
+def _again(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """(node, elements) of the texts at places (node, doc_id, mark), read once more; a repeated row may give its set twice."""
+    given = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    texts = given.join(side.select("node", "doc_id", "mark"), (F.col("t") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
+    return texts.select("text", "node").mapInArrow(_sets(words), "node long, elements array<long>")
+
+
+def _alone(rows: DataFrame, elements: str) -> DataFrame:
+    """node, alone: how many of its elements no other node has; nodes without such an element are left out."""
+    entries = rows.select("node", F.explode(elements).alias("shingle"))
+    once = entries.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def incidence(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, n, elements, degree of the rows that pass the first two bounds.
+
+    elements are those columns that another such row has too, rarest first; degree is how many rows share one of them, on the average.
+    """
+    heads = rows.filter(F.size("head") > 0)
+    places = heads.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("p"), F.min("n_shingles").alias("n"), F.min(F.size("head")).alias("heads"))
+    met = F.col("heads") - F.coalesce("alone", F.lit(0)) >= _spare(need("n", percent))
+    first = places.join(_alone(heads, "head"), "node", "left").filter(met).select("node", "p.doc_id", "p.mark", "n")
+    first = materialize(first)
+
+    sets = materialize(_again(docs, first, words))
+    enough = F.col("n") - F.coalesce("alone", F.lit(0)) >= need("n", percent)
+    second = first.join(_alone(sets, "elements"), "node", "left").filter(enough).select("node", "n")
+    whole = materialize(sets.join(second, "node").dropDuplicates(["node"]))
+    discard(sets, first)
+
+    entries = whole.select("node", "n", F.explode("elements").alias("shingle"))
+    often = materialize(entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
+    ordered = skew_join(entries, often, "shingle").groupBy("node").agg(
+        F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by"), (F.sum(F.col("df") - 1) / F.min("n")).alias("degree")
+    )
+    matrix = ordered.select("node", "n", F.col("by.shingle").alias("elements"), "degree").filter(F.size("elements") >= need("n", percent))
+    matrix = materialize(matrix)
+    discard(whole, often)
+    return matrix
+
+
+def _pivots(prefix: DataFrame) -> DataFrame:
+    """prefix with p, the row of the highest degree in its column, for columns that more than one label has."""
+    best = prefix.groupBy("shingle").agg(F.max(F.struct("degree", "node", "label")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return skew_join(prefix, best.filter("low < high").select("shingle", "p"), "shingle")
+
+
+def _stars(named: DataFrame, second: bool) -> DataFrame:
+    """Tasks of one row and up to BLOCK_ROWS others, for each row the pivot of most of its columns."""
+    if second:
+        others = named.filter("label <> p.label")
+        best = others.groupBy("shingle").agg(F.max(F.struct("degree", "node", "label")).alias("q"))
+        named = skew_join(named, best, "shingle").withColumn("p", F.col("q"))
+    pairs = named.filter("label <> p.label").groupBy("node", "label", "n", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")).agg(F.count("*").alias("columns"))
+    chosen = materialize(pairs.groupBy("node").agg(F.max(F.struct("columns", "pivot", "pivot_label", "label", "n")).alias("x")).select("node", "x.*"))
+    dealt = _dealt(chosen).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = dealt.select("pivot", "i", F.lit(0).alias("j"), F.lit(1).alias("side"), "node", "label")
+    own = dealt.select("pivot", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("pivot").alias("node"), F.col("pivot_label").alias("label")).distinct()
+    return rows.unionByName(own)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (a written table) with the number of blocks that their pivot's rows fill."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    return skew_join(rows, rows.groupBy("pivot").agg(blocks.alias("blocks")), "pivot")
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """Tasks of every two blocks of each pivot's columns; blocks without two labels between them are left out by their products."""
+    rows = materialize(named.select(F.col("p.node").alias("pivot"), "node", "label", "n").distinct())
+    dealt = _dealt(rows).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = dealt.select("pivot", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return every.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
@@ -206,75 +334,40 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
 
     component_id is the smallest doc_id that links reach, the row's own included. A null or wordless text has no shingle and
     links with nothing, not even its like; its component is its own doc_id. A text of fewer than `words` words is one
-    shingle. Repeated rows are each answered; a null doc_id is never the smallest and is null if alone; an empty table gives
-    an empty result; columns other than doc_id and text are ignored.
+    shingle. Repeated rows and ties are each answered; a null doc_id is never the smallest and is null if alone; an empty
+    table gives an empty result; columns other than doc_id and text are ignored. A text is taken whole, however long: a
+    worker holds the sets of up to 512 texts, or of two blocks, at once, 8 bytes a shingle.
     """
     docs = documents(docs)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    rows = materialize(marked.mapInArrow(_rows(words), "doc_id long, mark long, node long, n_shingles long"))
-
-    # blocks that more than one node has
-    blocks = docs.select("text").mapInArrow(_blocks(words, percent), "node long, block long")
-    every = Window.partitionBy("block")
-    shared = blocks.select("block", "node", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).filter("low < high").select("block", "node")
-    shared = materialize(shared.distinct().withColumn("others", F.count("*").over(every) - 1))
-    # the text that copies were made from shares most blocks with most of them, and so makes the best pivot
-    degrees = materialize(shared.groupBy("node").agg(F.sum("others").alias("degree")))
-    shared = materialize(shared.drop("others").join(degrees, "node"))
-    places = rows.filter("node is not null").join(shared.select("node").distinct(), "node", "left_semi")
-    places = materialize(places.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("p")).select("node", "p.doc_id", "p.mark"))
-
-    labels, tested, links = None, None, []
-    for turn in range(PIVOTS + 1):
-        open_ = shared
-        if labels is not None:
-            named = shared.join(labels, "node", "left").select("block", "node", "degree", F.coalesce("label", "node").alias("label"))
-            open_ = named.select("*", F.min("label").over(every).alias("low"), F.max("label").over(every).alias("high")).filter("low < high")
-            # only blocks whose rows are not all connected yet are of interest
-            open_ = materialize(open_.drop("low", "high"))
-            if not open_.limit(1).count():
-                break
-        else:
-            open_ = shared.withColumn("label", F.col("node"))
-        if turn < PIVOTS:
-            # one pivot for each block: the row of the highest degree, then the highest of another component, then by chance
-            mine = F.struct("degree", "node", "label")
-            if turn < 2:
-                open_ = open_.withColumn("p", F.max(mine).over(every))
-            if turn == 1:
-                open_ = open_.withColumn("p", F.max(F.when(F.col("label") != F.col("p.label"), mine)).over(every))
-            if turn > 1:
-                chance = F.struct(F.xxhash64(F.lit(turn), "label"), "degree", "node", "label")
-                open_ = open_.withColumn("p", F.max(chance).over(every))
-            dealt = open_.select("node", "label", "p").filter("label <> p.label")
-            found = dealt.select(F.col("p.node").alias("pivot"), "node")
+    rows = materialize(marked.mapInArrow(_rows(words, percent), "doc_id long, mark long, node long, n_shingles long, head array<long>"))
+    matrix = incidence(docs, rows, words, percent)
+    first = F.slice("elements", F.lit(1), F.size("elements") - need("n", percent) + 1)
+    prefix = materialize(matrix.select("node", "n", "degree", F.explode(first).alias("shingle")))
+
+    labels = None
+    for turn in range(STARS + 1):
+        if labels is None:
+            named = prefix.withColumn("label", F.col("node"))
         else:
-            x = open_.select("block", "node", "label")
-            y = open_.select("block", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-            found = x.join(y, "block").filter("pivot < node and pivot_label <> label").select("pivot", "node")
-        found = found.groupBy("pivot", "node").agg(F.count("*").alias("blocks"))
-        if tested is not None:
-            again = tested.union(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
-            found = found.join(again, ["pivot", "node"], "left_anti")
-        if turn < PIVOTS:
-            # of several pivots, the one that shares most blocks
-            found = found.groupBy("node").agg(F.max(F.struct("blocks", "pivot")).alias("best")).select(F.col("best.pivot").alias("pivot"), "node")
-        pairs = materialize(found.select("pivot", "node"))
-        if not pairs.limit(1).count():
-            if turn < PIVOTS:
-                continue
+            named = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = materialize(named)
+        open_ = materialize(_pivots(named))
+        if not open_.limit(1).count():
             break
-        links.append(materialize(verified(docs, places, pairs, words, percent)))
-        tested = pairs if tested is None else tested.union(pairs)
-        known = links[-1] if labels is None else links[-1].union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        links = products(_stars(open_, turn > 0) if turn < STARS else _blocks(open_), matrix, percent)
+        known = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(known)
+        discard(named, open_, links)
 
-    if labels is None:
-        named = rows.select("doc_id", "mark", "n_shingles", "node", F.col("node").alias("group"))
-    else:
-        named = rows.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("group"))
-    least = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "mark")
+    of = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
+    of = of.withColumn("group", F.col("node")) if labels is None else of.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("group"))
+    of = materialize(of)
+    least = of.groupBy("group").agg(F.min("own").alias("component_id"))
+    by_node = materialize(skew_join(of, least, "group").select("node", "component_id"))
+    discard(of, prefix, matrix)
+    named = skew_join(rows.drop("head"), by_node, "node", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "mark")
 
 
 def representatives(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -284,11 +377,12 @@ def representatives(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if all of a component's ids are null, they all stay.
     """
     groups = materialize(join(docs, words, percent).filter("n_shingles > 0"))
-    at = (F.col("__mark") == F.xxhash64(F.col("text").cast("string"))) & F.col("__id").eqNullSafe(F.col("doc_id").cast("long"))
-    key = [F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")]
-    gone = groups.filter("not (doc_id <=> component_id)").select(*key).distinct()
-    kept = docs.join(gone, at, "left_anti")
-    twice = groups.filter("doc_id = component_id").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select("__id", "__mark")
+    own, mark = free_name("own", docs), free_name("mark", docs)
+    at = (F.col(mark) == F.xxhash64(F.col("text").cast("string"))) & F.col(own).eqNullSafe(F.col("doc_id").cast("long"))
+    key = [F.col("doc_id").alias(own), F.col("mark").alias(mark)]
+    gone = materialize(groups.filter("not (doc_id <=> component_id)").select(*key).distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, at, "left_anti")
+    twice = materialize(groups.filter("doc_id = component_id").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(own, mark))
     if not twice.limit(1).count():
         return kept
     return kept.join(twice, at, "left_anti").unionByName(kept.join(twice, at, "left_semi").dropDuplicates(["doc_id", "text"]))
