@@ -171,7 +171,7 @@ def changeset(spark, d):
 @query(f"WITH {SNAPS} SELECT * FROM n")
 def ledger_merge(spark, d):
     old, new = _snapshots(spark, d)
-    return state.merge(old, new, state.changeset(old, new, "doc_id", "hash"), "doc_id")
+    return state.apply_changes(old, new, "doc_id", "hash")
 
 
 @query("SELECT doc_id, strlen(text) AS size FROM documents WHERE strlen(text) >= 10240 AND strlen(text) / (strlen(text) - strlen(replace(text, chr(10), '')) + 1) > 300")

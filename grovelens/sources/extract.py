@@ -172,7 +172,8 @@ def _names(clause: str) -> list[str]:
 def parse_js(text: str) -> Parsed:
     out = Parsed()
     if m := re.match(r"\s*/\*\*(.*?)\*/", text, re.S):
-        out.doc = re.sub(r"(?m)^\s*\*\s?", "", m[1]).strip()
+        lines = (re.sub(r"^\s*\*\s?", "", x) for x in m[1].lstrip("*").split("\n"))
+        out.doc = " ".join(x for x in lines if not x.strip().startswith("@")).strip()
     for line, s in top_level(blank_js(text)):
         if m := re.match(r"(import|export)\b(?:\s+type\b)?(.*?)\bfrom\s*['\"]([^'\"]+)['\"]", s, re.S):
             if m[1] == "import" or "{" in m[2] or "*" in m[2]:
@@ -240,3 +241,26 @@ def extract(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "symbols", "imports", "doc", "failed"])
 
     return files.filter(files["language"].isin(*PARSERS)).select("path", "language", "text").mapInPandas(run, SCHEMA)
+
+
+def annotate(files: DataFrame) -> DataFrame:
+    """files (path, language, text, status, ...) with symbols, imports, doc and failed, empty where status isn't `parsed`; the text goes."""
+    names = [c for c in files.columns if c != "text"]
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text")
+    found = ", ".join(x.strip() for x in SCHEMA.split(",", 1)[1:])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for language, text, status in zip(frame["language"], frame["text"], frame["status"], strict=True):
+                try:
+                    p = PARSERS[language](text or "") if status == "parsed" and isinstance(text, str) else Parsed()
+                    made.append((p.symbols, p.imports, p.doc, False))
+                except Exception:  # noqa: BLE001  a file that no parser survives is a row with failed set
+                    made.append(([], [], None, True))
+            out = frame[names].copy()
+            for k, column in enumerate(("symbols", "imports", "doc", "failed")):
+                out[column] = [m[k] for m in made]
+            yield out
+
+    return files.select(*names, "text").mapInPandas(run, f"{given}, {found}")

@@ -1 +1 @@
-"""Subpackage of grovelens."""
+"""Streams of changes."""
