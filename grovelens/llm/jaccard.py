@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,7 @@ def _rows(words: int, percent: int):
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -112,7 +114,8 @@ def _sets(words: int):
                     if len(s) and set_number(s) == node:  # else another text of the same hash
                         nodes.append(node)
                         found.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(found)], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.arange(base + n, base + n + len(nodes))), _lists(found)], names=["node", "row", "elements"])
+                n += len(nodes)
 
     return sets
 
@@ -253,11 +256,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _again(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """(node, elements) of the texts at places (node, doc_id, mark), read once more; a repeated row may give its set twice."""
+    """(node, row, elements) of the texts at places (node, doc_id, mark), read once more; a repeated row may give its set twice, as two rows."""
     given = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     texts = given.join(side.select("node", "doc_id", "mark"), (F.col("t") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    return texts.select("text", "node").mapInArrow(_sets(words), "node long, elements array<long>")
+    return texts.select("text", "node").mapInArrow(_sets(words), "node long, row long, elements array<long>")
 
 
 def _alone(rows: DataFrame, elements: str) -> DataFrame:
@@ -281,8 +284,10 @@ def incidence(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     sets = materialize(_again(docs, first, words))
     enough = F.col("n") - F.coalesce("alone", F.lit(0)) >= need("n", percent)
     second = first.join(_alone(sets, "elements"), "node", "left").filter(enough).select("node", "n")
-    whole = materialize(sets.join(second, "node").dropDuplicates(["node"]))
-    discard(sets, first)
+    second = materialize(second.join(sets.groupBy("node").agg(F.min("row").alias("row")), "node"))
+    # sets stay where they are unless what names them is too large to be sent to them
+    whole = materialize(sets.join(F.broadcast(second) if second.count() <= BROADCAST_ROWS else second, ["node", "row"]).drop("row"))
+    discard(sets, first, second)
 
     entries = whole.select("node", "n", F.explode("elements").alias("shingle"))
     often = materialize(entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
