@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovelens.functions import paths, text
-from grovelens.operators import graph, state
+from grovelens.functions import globs, paths, text
+from grovelens.operators import conventions, drift, graph, modules, regions, resolve, state
+from grovelens.operators.nearest import nearest
+from grovelens.sources import extract, facts, languages
+
+#: Distinct tokens that are broadcast at most, counted before.
+BROADCAST_TOKENS = 500_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +63,10 @@ BY = f"{EDGES}, b AS (SELECT t, count(*) AS imported_by FROM e JOIN customer ON
 
 @query(f"WITH {MODULES} SELECT * FROM m")
 def module_edges(spark, d):
-    return graph.module_edges(edges(spark, d), importers(spark, d), imported(spark, d))
+    """Test files at either end go before references are made distinct."""
+    live = references(spark, d).join(importers(spark, d).filter("not is_test").select(F.col("path").alias("importer")), "importer", "left_semi")
+    live = live.join(imported(spark, d).filter("not is_test").select(F.col("path").alias("target")), "target", "left_semi")
+    return graph.module_edges(graph.file_edges(live, "importer", "target"), importers(spark, d), imported(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT count(*) AS n_edges, count(DISTINCT f) AS n_importers, count(DISTINCT t) AS n_targets FROM e")
@@ -179,9 +187,13 @@ def generated_filter(spark, d):
     return read(spark, d, "documents").filter(text.minified(F.col("text"))).select("doc_id", F.octet_length("text").cast("long").alias("size"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\{@link\s+([^}\s]+)[^}]*\}', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[\x20\t\r\n]+', ' ', 'g')) AS t FROM documents),
-s AS (SELECT doc_id, t, coalesce(nullif(regexp_extract(t, '^(.*?[.!?])(?: |$)', 1), ''), t) AS s FROM p)
-SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '(?i)copyright|licen[sc]e|eslint|prettier|@ts-') THEN CASE WHEN length(s) > 160 THEN substr(s, 1, 159) || '…' ELSE s END END AS summary FROM s""")
+#: Blanks as functions.text has them, in RE2's form.
+B = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\{{@link{B}+([^}}|\s\x{{00A0}}\x{{2028}}\x{{2029}}\x{{FEFF}}]+)[^}}]*\}}', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '{B}+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT doc_id, t, coalesce(nullif(regexp_extract(t, '^(.+?[.!?])(?: |$)', 1), ''), t) AS s FROM p)
+SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '(?i)\bcopyright\b|\blicen[cs]e\b|eslint-|@ts-|prettier-ignore') THEN CASE WHEN length(s) > 160 THEN rtrim(substr(s, 1, 159)) || '…' ELSE s END END AS summary FROM s""")
 def doc_summary(spark, d):
     return read(spark, d, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("summary"))
 
@@ -234,50 +246,33 @@ def deepest_root(spark, d):
     return graph.deepest(each, "page_id", "dir", "depth", roots, "root")
 
 
-@query(f"WITH {PATHS}, q AS (SELECT DISTINCT regexp_extract(url, '([^/?#]+)([?#].*)?$', 1) AS name FROM pages WHERE page_id % 5 = 0) SELECT name, count(DISTINCT path) AS n FROM q JOIN p ON path = name OR path LIKE '%/' || name GROUP BY name")
+@query(f"WITH {PATHS}, q AS (SELECT DISTINCT regexp_extract(url, '([^/?#]+)([?#].*)?$', 1) AS name FROM pages) SELECT name, count(DISTINCT path) AS n FROM q JOIN p ON path = name OR path LIKE '%/' || name GROUP BY name")
 def suffix_match(spark, d):
-    return _suffix_match(spark, d, read(spark, d, "pages").filter("page_id % 5 = 0"))
-
-
-@query()
-def suffix_match_all(spark, d):
-    """suffix_match for the names of every page."""
-    return _suffix_match(spark, d, read(spark, d, "pages"))
-
+    """How many paths end in each page's last segment. The index is counted by its suffixes before the join, with partial sums, so a common name is one row."""
+    asked = read(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]+)([?#].*)?$", 1).alias("name")).distinct()
+    ends = page_paths(spark, d).select("path").distinct().select(F.explode(paths.suffixes(F.col("path"))).alias("name"))
+    return ends.groupBy("name").agg(F.count("*").alias("n")).join(asked, "name", "left_semi")
 
-def _suffix_match(spark, d, pages: DataFrame) -> DataFrame:
-    asked = pages.select(F.regexp_extract("url", r"([^/?#]+)([?#].*)?$", 1).alias("name")).distinct()
-    index = page_paths(spark, d).select("path").distinct().select("path", F.explode(paths.suffixes(F.col("path"))).alias("name"))
-    return index.join(asked, "name").groupBy("name").agg(F.count("*").alias("n"))
 
-
-@query("""WITH m AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 2) ELSE p_name || 'x' END AS name FROM part WHERE p_partkey % 20 = 0),
+@query("""WITH m AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 2) ELSE p_name || 'x' END AS name FROM part),
 c AS (SELECT m.p_partkey, p_name AS best, least(levenshtein(name, p_name)::DOUBLE, CASE WHEN starts_with(name, p_name) OR starts_with(p_name, name) THEN 1 + abs(length(name) - length(p_name)) / 100.0 END) AS distance FROM m JOIN part USING (p_brand))
 SELECT p_partkey, best, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, best) AS rank FROM c WHERE distance <= 3) WHERE rank = 1""")
 def nearest_name(spark, d):
-    return _nearest_name(spark, d, read(spark, d, "part").filter("p_partkey % 20 = 0"))
-
-
-@query()
-def nearest_name_all(spark, d):
-    """nearest_name for every part."""
-    return _nearest_name(spark, d, read(spark, d, "part"))
-
-
-def _nearest_name(spark, d, parts: DataFrame) -> DataFrame:
+    """Every part's altered name against the names of its brand, by shared parts of names instead of pairs."""
     part = read(spark, d, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.expr("substring(p_name, 2)")).otherwise(F.concat("p_name", F.lit("x")))
-    asked = parts.select("p_brand", "p_partkey", name.alias("name"))
-    # options are compared within a directory only, here a brand
-    pairs = asked.join(part.select("p_brand", F.col("p_name").alias("best")), "p_brand")
-    near = pairs.withColumn("distance", text.closeness(F.col("name"), F.col("best"))).filter("distance <= 3")
-    return near.groupBy("p_partkey").agg(F.min(F.struct("distance", "best")).alias("m")).select("p_partkey", "m.best", "m.distance")
+    asked = part.select("p_brand", "p_partkey", name.alias("name"))
+    return nearest(asked, part.select("p_brand", F.col("p_name").alias("best")), ["p_brand"], ["p_partkey"], "name", "best", 3)
 
 
 @query("WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM benchmark), u AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM documents) SELECT token FROM t ANTI JOIN u USING (token)")
 def unused_tokens(spark, d):
-    tokens = lambda name: read(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_$]+"), F.lit(0))).alias("token")).distinct()
-    return tokens("benchmark").join(tokens("documents"), "token", "left_anti")
+    """Only tokens that the benchmark has are looked for among the documents' and shuffled."""
+    tokens = lambda name: read(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_$]+"), F.lit(0))).alias("token"))
+    asked = tokens("benchmark").distinct()
+    small = asked.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    used = tokens("documents").join(F.broadcast(asked) if small else asked, "token", "left_semi").distinct()
+    return asked.join(used, "token", "left_anti")
 
 
 @query("SELECT event_type, count(*) AS n, coalesce(nullif(list_position(['purchase', 'click', 'view'], event_type), 0), 4)::INTEGER AS place FROM events GROUP BY event_type ORDER BY place, event_type LIMIT 15")
@@ -287,7 +282,7 @@ def top_commands(spark, d):
     return graph.top(counts.withColumn("place", F.coalesce(F.nullif(place, F.lit(0).cast("long")), F.lit(4)).cast("int")), [F.col("place"), F.col("event_type")], 15)
 
 
-STYLE = "CASE WHEN regexp_matches(x, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab-case' WHEN regexp_matches(x, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(x, '^[A-Z][A-Za-z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(x, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 'camelCase' END"
+STYLE = "CASE WHEN regexp_matches(x, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab-case' WHEN regexp_matches(x, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(x, '^[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+$') THEN 'PascalCase' WHEN regexp_matches(x, '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$') THEN 'camelCase' END"
 
 
 @query(f"SELECT style, count(*) AS n FROM (SELECT {STYLE} AS style FROM (SELECT replace(p_name, ' ', CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '' END) AS x FROM part UNION ALL SELECT replace(c_name, '#', '') FROM customer)) GROUP BY style")
@@ -313,7 +308,7 @@ def first_root_wins(spark, d):
     return graph.first_root_wins(each, "ref", "root", "candidate", read(spark, d, "customer"), "c_custkey")
 
 
-@query()
+@query(f"WITH {PATHS} SELECT page_id, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS normalized, true AS same FROM p WHERE path <> ''")
 def posix_normalize(spark, d):
     """Page paths with detours added; as long as normalisation works, `same` is true in every row."""
     p = page_paths(spark, d).filter("path <> ''")
@@ -321,8 +316,125 @@ def posix_normalize(spark, d):
     return p.select("page_id", paths.normalize(detour).alias("normalized"), (paths.normalize(detour) == paths.normalize(F.col("path"))).alias("same"))
 
 
-@query()
+@query("SELECT word, row_number() OVER (ORDER BY strip_accents(lower(word)), lower(word), word DESC) AS rank FROM (SELECT DISTINCT regexp_extract(text, '[A-Za-z]+') AS word FROM documents WHERE regexp_matches(text, '[A-Za-z]'))")
 def collated_rank(spark, d):
-    """Languages' first words in the order of the Unicode collation."""
-    firsts = read(spark, d, "documents").select("lang", F.regexp_extract("text", r"^(\S+)", 1).alias("word")).groupBy("lang").agg(F.min("word").alias("word"))
-    return firsts.select("lang", "word", F.row_number().over(Window.orderBy(paths.collated(F.col("word")), "lang")).alias("rank"))
+    """The documents' first words of Latin letters in the order of the Unicode collation: small letters before capitals where nothing else differs."""
+    words = read(spark, d, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("word")).filter("word <> ''").distinct()
+    place = words.select("word", F.row_number().over(Window.orderBy(paths.collated(F.col("word")))).cast("long").alias("rank"))
+    return place
+
+
+# Sources, imports and documents made from keys: the SQL states what must come out of them.
+def source_files(spark, d) -> DataFrame:
+    """(path, language, text, k): a file for each part, in the folder of its brand; even ones are TypeScript, odd ones Python."""
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("src/b"), F.regexp_extract("p_brand", r"(\d+)", 1))
+    even = k % 2 == 0
+    path = F.concat(folder, F.lit("/f"), k.cast("string"), F.when(even, ".ts").otherwise(".py"))
+    near = F.concat(F.lit("import { v"), F.abs(k - 2).cast("string"), F.lit(" } from './f"), F.abs(k - 2).cast("string"), F.lit("';\n"))
+    script = F.concat(F.lit("/** Part "), k.cast("string"), F.lit(". More. */\n"), near, F.lit("export const v"), k.cast("string"), F.lit(" = 1;\nclass Inner {}\n"))
+    module = F.concat(F.lit('"""Part '), k.cast("string"), F.lit('. More."""\nfrom . import f'), F.abs(k - 2).cast("string"), F.lit("\n\n\ndef v"), k.cast("string"), F.lit("():\n    return 1\n\n\nclass _Inner:\n    pass\n"))
+    return read(spark, d, "part").select(path.alias("path"), F.when(even, "typescript").otherwise("python").alias("language"), F.when(even, script).otherwise(module).alias("text"), k.alias("k"))
+
+
+SOURCES = "f AS (SELECT p_partkey AS k, 'src/b' || regexp_extract(p_brand, '([0-9]+)', 1) AS folder, CASE WHEN p_partkey % 2 = 0 THEN '.ts' ELSE '.py' END AS ext FROM part), g AS (SELECT k, folder, folder || '/f' || k || ext AS path FROM f)"
+
+
+@query(f"WITH {SOURCES} SELECT path, 'v' || k AS name, CASE WHEN k % 2 = 0 THEN 'variable' ELSE 'function' END AS kind, true AS exported FROM g UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN 'Inner' ELSE '_Inner' END, 'class', false FROM g")
+def extracted_symbols(spark, d):
+    rows = extract.extract(source_files(spark, d)).select("path", F.explode("symbols").alias("s"))
+    return rows.select("path", "s.name", "s.kind", "s.exported")
+
+
+@query(f"WITH {SOURCES} SELECT path, 'Part ' || k || '.' AS summary FROM g")
+def file_summaries(spark, d):
+    return extract.extract(source_files(spark, d)).select("path", text.first_sentence(F.col("doc")).alias("summary"))
+
+
+@query(f"WITH {SOURCES} SELECT a.path AS from_path, b.path AS to_path FROM g a JOIN g b ON b.k = a.k - 2 AND a.folder = b.folder")
+def resolved_imports(spark, d):
+    """Imports of the part before, which are files of the same folder for some and external for others."""
+    files = source_files(spark, d)
+    rows = extract.extract(files).select(F.col("path").alias("file_path"), F.posexplode("imports").alias("ordinal", "i")).select("file_path", "ordinal", "i.specifier", "i.names")
+    return resolve.resolve(rows, files.select("path", "language")).select("from_path", "to_path")
+
+
+@query("SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN NULL WHEN 3 THEN 'cpp' ELSE NULL END AS language FROM part")
+def path_languages(spark, d):
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, "a.b/x.TSX").when(k % 5 == 1, "x.py").when(k % 5 == 2, "x.d.ts").when(k % 5 == 3, "x.hpp").otherwise("dir.ts/.py")
+    return read(spark, d, "part").select(k.alias("k"), languages.language_of(name).alias("language"))
+
+
+GLOBS = ("en/", "*.html", "!de/1*.html")
+
+
+@query(f"WITH {PATHS} SELECT page_id, path LIKE 'en/%' OR path LIKE '%/en/%' OR (path LIKE '%.html' AND NOT regexp_matches(path, '^de/1[^/]*\\.html$')) AS ignored FROM p WHERE path <> '' AND path NOT LIKE '%/'")
+def ignored_paths(spark, d):
+    """Ignore rules with a folder, a suffix and an exception."""
+    p = page_paths(spark, d).filter("path <> '' and path not like '%/'")
+    return p.select("page_id", globs.ignored(F.col("path"), globs.compiled(GLOBS)).alias("ignored"))
+
+
+@query(f"WITH {SOURCES} SELECT path, CASE WHEN k % 3 = 0 THEN 'lib/' || (k % 7) WHEN k % 3 = 1 THEN folder ELSE '.' END AS module FROM g")
+def module_ids(spark, d):
+    """A third of the files in a folder that an override covers, a third inferred through `src`, a third at the top."""
+    f = source_files(spark, d)
+    place = F.when(F.col("k") % 3 == 0, F.concat(F.lit("lib/"), (F.col("k") % 7).cast("string"), F.lit("/deep/er/"), paths.basename(F.col("path")))).when(F.col("k") % 3 == 1, F.col("path")).otherwise(paths.basename(F.col("path")))
+    return f.select("path", modules.module_id(place, ["lib/*"]).alias("module"))
+
+
+NAMED = f"{SOURCES}, n AS (SELECT folder AS module, CASE WHEN k % 10 = 0 THEN 'snake_case' ELSE 'kebab-case' END AS value, count(*) AS matched FROM g GROUP BY ALL), r AS (SELECT *, sum(matched) OVER (PARTITION BY module) AS sample_size, row_number() OVER (PARTITION BY module ORDER BY matched DESC, value) AS rank FROM n)"
+
+
+@query(f"WITH {NAMED} SELECT module || ':file-naming:' || value AS id, 'Multi-word file names in `' || module || '/` are ' || value || '.' AS statement, matched, sample_size::BIGINT AS sample_size FROM r WHERE rank = 1 AND sample_size >= 3 AND matched / sample_size >= 0.8")
+def detected_conventions(spark, d):
+    """File names of each folder, nine in ten of them in kebab case."""
+    f = source_files(spark, d)
+    name = F.concat(F.lit("one"), F.when(F.col("k") % 10 == 0, "_").otherwise("-"), F.col("k").cast("string"), F.lit(".go"))
+    placed = f.select(F.concat(paths.dirname(F.col("path")), F.lit("/"), name).alias("path"), F.lit("go").alias("language"), paths.dirname(F.col("path")).alias("module"), F.lit(False).alias("is_test"))
+    none = spark.createDataFrame([], "file_path string, exported boolean, is_default boolean")
+    return conventions.detect(placed, none).select("id", "statement", "matched", "sample_size")
+
+
+@query("SELECT item_id::VARCHAR AS path, '# T' || chr(10) || chr(10) || CASE WHEN item_id % 2 = 0 THEN '<!-- grovelens:start:a sha=' || substr(sha256(text), 1, 12) || ' -->' || chr(10) || text || chr(10) || '<!-- grovelens:end:a -->' ELSE '<!-- grovelens:start:a sha=000000000000 -->' || chr(10) || 'mine' || chr(10) || '<!-- grovelens:end:a -->' END || chr(10) AS text, CASE WHEN item_id % 2 = 0 THEN 'updated' ELSE 'conflict' END AS status FROM benchmark WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, '<!--')")
+def region_updates(spark, d):
+    """Documents whose region is rewritten, or was edited by hand and stays."""
+    items = read(spark, d, "benchmark").filter(F.col("text").isNotNull() & ~F.col("text").contains("\r") & ~F.col("text").contains("<!--")).select(F.col("item_id").cast("string").alias("path"), "text", "item_id")
+    start = F.concat(F.lit("# T\n\n<!-- grovelens:start:a sha="), F.when(F.col("item_id") % 2 == 0, F.substring(F.sha2(F.lit("old"), 256), 1, 12)).otherwise("000000000000"), F.lit(" -->\n"))
+    docs = items.select("path", F.concat(start, F.when(F.col("item_id") % 2 == 0, "old").otherwise("mine"), F.lit("\n<!-- grovelens:end:a -->\n")).alias("text"))
+    done = regions.apply(docs, items.select("path", F.lit(1).alias("ord"), F.lit("a").alias("id"), F.col("text").alias("content")))
+    return done.select("path", "text", F.get("outcomes", F.lit(0))["status"].alias("status"))
+
+
+@query(f"""WITH {SOURCES}, x AS (SELECT k, folder, path, k % 3 AS form FROM g)
+SELECT 'docs/' || k || '.md' AS file, CASE form WHEN 1 THEN '../gone/f' || k || '.ts' ELSE 'gone/f' || k || '.x.ts' END AS reference, CASE WHEN form = 1 THEN (SELECT min(path) FROM g WHERE g.k = x.k AND path LIKE '%.ts') END AS suggestion FROM x WHERE form <> 0""")
+def broken_references(spark, d):
+    """Documents that name a file rightly by the end of its path, through a link to a folder that is gone, or not at all."""
+    f = source_files(spark, d)
+    k, form = F.col("k").cast("string"), F.col("k") % 3
+    said = F.when(form == 0, F.concat(F.lit("See `"), F.expr("substring(path, 5)"), F.lit("`."))).when(form == 1, F.concat(F.lit("See [it](../gone/f"), k, F.lit(".ts)."))).otherwise(F.concat(F.lit("See `gone/f"), k, F.lit(".x.ts`.")))
+    refs = drift.extract_references(f.select(F.concat(F.lit("docs/"), k, F.lit(".md")).alias("path"), said.alias("text")))
+    return drift.missing_paths(refs, f.select("path")).select("file", "reference", "suggestion")
+
+
+@query("SELECT 'p' || p_partkey || '/README.md' AS file, CASE WHEN p_partkey % 2 = 0 THEN '`biuld` is not a script in p' || p_partkey || '/package.json' ELSE 'Makefile has no `tets` target' END AS message, CASE WHEN p_partkey % 2 = 0 THEN 'build' ELSE 'test' END AS suggestion FROM part")
+def missing_scripts(spark, d):
+    """Documents beside their manifests, each with a wrong and a right command."""
+    k = F.col("p_partkey")
+    home = F.concat(F.lit("p"), k.cast("string"))
+    given = read(spark, d, "part").select(home.alias("dir"), (k % 2 == 0).alias("node"))
+    docs = given.select(F.concat("dir", F.lit("/README.md")).alias("path"), F.when(F.col("node"), "`npm run biuld` and `npm test`").otherwise("`make tets` and `make test`").alias("text"))
+    texts = given.select(F.concat("dir", F.when(F.col("node"), "/package.json").otherwise("/Makefile")).alias("path"), F.when(F.col("node"), '{"scripts": {"build": "x", "test": "y"}}').otherwise("test: all\n\tx\n").alias("text"))
+    return drift.missing_scripts(drift.extract_references(docs), facts.scripts(texts), texts.select("path")).select("file", "message", "suggestion")
+
+
+@query("""SELECT 'p' || p_partkey AS root, fact, label FROM part, (VALUES ('stack', 'Node.js', 0), ('stack', 'pnpm', 0), ('stack', 'React', 0), ('command', 'pnpm build', 0), ('stack', 'Python', 1), ('stack', 'Poetry', 1), ('stack', 'FastAPI', 1), ('stack', 'pytest', 1), ('command', 'poetry run pytest', 1)) AS v(fact, label, rest) WHERE p_partkey % 2 = rest""")
+def manifest_facts(spark, d):
+    """Two kinds of projects, one for each part."""
+    k = F.col("p_partkey")
+    root = F.concat(F.lit("p"), k.cast("string"))
+    node = F.array(F.struct(F.lit("package.json").alias("name"), F.lit('{"scripts": {"build": "x", "prebuild": "y"}, "dependencies": {"react": "1"}}').alias("text")), F.struct(F.lit("pnpm-lock.yaml").alias("name"), F.lit("").alias("text")))
+    python = F.array(F.struct(F.lit("pyproject.toml").alias("name"), F.lit('[tool.poetry.dependencies]\nfastapi = "1"\npytest = "1"\n').alias("text")), F.struct(F.lit("poetry.lock").alias("name"), F.lit("").alias("text")))
+    rows = read(spark, d, "part").select(root.alias("root"), F.explode(F.when(k % 2 == 0, node).otherwise(python)).alias("f")).select("root", "f.name", "f.text")
+    return facts.facts(rows).filter("fact in ('stack', 'command')").select("root", "fact", "label")

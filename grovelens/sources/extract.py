@@ -65,6 +65,8 @@ def parse_python(text: str) -> Parsed:
 
 def _python_lines(text: str) -> Parsed:
     out = Parsed()
+    if m := re.match(r"(?:\s*(?:#[^\n]*)?\n)*[rRuU]?(\"\"\"|''')(.*?)\1", text, re.S):
+        out.doc = m[2].strip()
     for number, line in enumerate(text.split("\n"), 1):
         if m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", line):
             out.add("function" if m[1] == "def" else "class", m[2], number, line, not m[2].startswith("_"))
