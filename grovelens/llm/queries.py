@@ -80,9 +80,11 @@ ORACLE_SQL = {
         ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
         b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
         bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
+        short AS (SELECT DISTINCT item_id, array_to_string(w, ' ') AS s FROM b WHERE len(w) < 5 AND w[1] <> ''),
         n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
         f AS (SELECT doc_id, item_id, count(*) AS found FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
         SELECT doc_id, item_id, n AS n_shingles, found AS n_found, found / n AS containment
         FROM f JOIN n USING (item_id) WHERE found >= ceil(n * 0.8 - 1e-9)
+        UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0 FROM short JOIN d ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || s || ' ')
     """,
 }

@@ -157,9 +157,13 @@ def test_own_rules_pass_the_gates(spark):
     assert got == {1: "a", 2: "b", 3: "z", 4: ""}
 
 
-def shingles(text):
-    w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+def plain_words(text):
+    return re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+
+
+def shingles(text, size=5):
+    w = plain_words(text)
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_SHINGLES, 0])
@@ -179,16 +183,22 @@ def test_decontamination(spark, odd, none, monkeypatch, limit):
             w[at:at] = part
         docs.append((1000 + d, ("  " if d % 3 else "\n, ").join(w).upper() if d % 5 == 0 else ", ".join(w)))
     docs += [(r.doc_id, r.text) for r in odd.collect()]
-    by_id = {}
+    docs += [(2000, "before w7 w8 after"), (2001, "w8 w7"), (2002, "w5 w6 w7 w8 w9 again")]
+    items += [(50, "w7 w8"), (51, "again"), (52, "w5 w6 w7 w8 w9"), (52, "w1 w1 w2 w2 w3 w3")]
+    want = set()
     for i, t in items:
-        by_id[i] = by_id.get(i, set()) | shingles(t)
-    want = {(d, i) for d, t in docs for i, s in by_id.items() if s and len(s & shingles(t)) >= 0.8 * len(s) - 1e-9}
+        size = min(5, len(plain_words(t)))
+        s = shingles(t, size) if size else set()
+        want |= {(d, i) for d, text in docs if s and len(s & shingles(text, size)) >= 0.8 * len(s) - 1e-9}
     df = spark.createDataFrame([(d, t, 1, "i") for d, t in docs], "doc_id long, text string, at int, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.search(df, bench).collect()} == want and len(want) > 10
     dirty = {d for d, _ in want}
     assert sorted(r.doc_id or -1 for r in decontam.clean(df, bench).collect()) == sorted(d or -1 for d, _ in docs if d not in dirty)
     assert decontam.clean(df, bench.limit(0)).count() == len(docs) and decontam.search(none, bench).count() == 0
+    whole = decontam.item_shingles
+    monkeypatch.setattr(decontam, "item_shingles", lambda *a: whole(*a).withColumn("sketch", F.lit(False)))
+    assert decontam.search(df, bench).count() == 0  # nothing is proposed but by the sketch
 
 
 def plain_quality(text):
