@@ -1,292 +1,248 @@
-"""Language-model scores: a bigram model in a log-frequency Bloom filter, over exact unigram counts.
-
-Counting covers every training text and keeps every bigram. A token (word, or the end that closes each text) is frequent if
-it makes up at least one in SHARE of all N training tokens, a bigram likewise; there can be at most SHARE frequent tokens and
-SHARE frequent bigrams, whatever the corpus, and a bigram is frequent only if both its tokens are. SHARE only decides where a
-count is kept, not whether: frequent tokens with their counts, and the filter with the quantised counts of the frequent
-bigrams, are broadcast; all others are rows of a table that a shuffle joins to the texts.
-
-A count c has the level 1 + floor(log(c) / log(BASE)), in the filter and in the table. The filter holds the keys (bigram, 1) to
-(bigram, level), counted from the level of the rarest frequent bigram, and is read by probing level after level until one is
-missing. P(w | h) is the quantised count times a factor of h, which makes the history's bigrams sum to their discounted share
-less DISCOUNT, or, without such a bigram, the unigram probability times the history's back-off weight: probabilities of a
-history sum to one but for the filter's errors (2^-20 a probe).
-
-Rare tokens are numbered by 60 bits of their MD5, bigrams by the numbers of their tokens. A rare token's own row is found by
-123 bits.
+"""Language-model scores: a bigram model whose quantised counts lie in log-frequency Bloom filters, one for each shard of the keys.
+
+Every training token and bigram is counted and kept. A filter of all bigrams grows with the corpus and can't be broadcast, so it is
+cut into shards by the bigrams' hash, and what would be probes of a broadcast filter are sent to the shards instead. Texts are
+read once into batches of about BATCH_TOKENS tokens, written as numbers. Each batch sends every shard the keys of its different words
+and bigrams with their counts in training texts; a shard sums the counts of all batches, puts the bigrams into its filter
+and answers each batch's keys by probing it: one byte a bigram, the exact count for a word. A batch then scores its texts.
+No key is hot: a batch sends it once, however often it occurs there.
+
+A count c has the level 1 + floor(log(c) / log(BASE)). The filter holds the keys (bigram, 1) to (bigram, level) and is read by
+probing level after level until one is missing. P(w | h) = (q(h, w) + PSEUDO * P(w)) / (c(h) + PSEUDO), with q the least count of
+the bigram's level, c(h) the history's count and P(w) = (c(w) + 1) / (N + V + 1): as q never exceeds the count, the
+probabilities of a history sum to one at most, and to one but for what the levels round off.
+
+Words are numbered by 64 bits of their XXH3, bigrams by a mix of their words' numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovelens.llm.common import documents, materialize, remainder
 from grovelens.llm.shingles import mix
 
-SHARE = 1 << 20
 BASE = 1.25
-HASHES = 20
-BITS = 29
-DISCOUNT = 0.005
-#: Different words that a task counts before it hands its counts on, and tokens whose bigrams it counts at a time.
-FLUSH_WORDS = 300_000
-FLUSH_TOKENS = 4_000_000
-#: Numbers from here on are those of rare tokens.
-RARE = 1 << 60
+HASHES = 16
+#: Bits of a filter for each key and level: HASHES / ln 2.
+BITS = 24
+PSEUDO = 20.0
+BATCH_TOKENS = 2_000_000
+#: Keys that a shard gets at most, on the average; what a task holds of a shard is some 100 bytes a key.
+SHARD_KEYS = 1_000_000
+#: Different words whose numbers a task keeps.
+KNOWN_WORDS = 300_000
 #: The end token; no word is empty.
 END = b""
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[list[bytes]]:
-    """The tokens of each text, A-Z lower-cased, without the end."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for text in batch.column(column).slice(at, 256).cast(pa.binary()).to_pylist():
-                yield (text or b"").lower().split()
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return made
-
-    for words in _texts(batches):
-        counts.update(words)
-        counts[END] += 1
-        if len(counts) > FLUSH_WORDS:
-            yield out()
-    yield out()
+def level(counts: np.ndarray) -> np.ndarray:
+    return (1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
-class Numbers(dict):
-    """Numbers of tokens: the place of a frequent one, else RARE and 60 bits of its MD5; `other` has 63 more bits, negative."""
-
-    def __init__(self, frequent: dict[bytes, int]):
-        super().__init__()
-        self.frequent, self.other = frequent, {}
-
-    def __missing__(self, word: bytes) -> int:
-        number = self.frequent.get(word)
-        if number is None:
-            digest = hashlib.md5(word).digest()
-            number = RARE | int.from_bytes(digest[:8]) >> 4
-            self.other[number] = -1 - (int.from_bytes(digest[8:]) >> 1)
-        self[word] = number
-        return number
-
-    def row(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > FLUSH_WORDS:
-            self.clear()
-            self.other.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def _number(word: Column) -> tuple[Column, Column]:
-    """The number of a rare word and its further bits, as Numbers makes them."""
-    bits = lambda at: F.conv(F.substring(F.md5(word.cast("binary")), at, 15), 16, 10).cast("long")
-    last = F.conv(F.substring(F.md5(word.cast("binary")), 32, 1), 16, 10).cast("long")
-    return bits(1) + RARE, -1 - (bits(17) * 8 + F.floor(last / 2))
-
-
-def _pairs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the different rows of equally long columns, and how often each occurs."""
-    key = np.zeros(len(columns[0]), np.uint64)
-    for k, column in enumerate(columns):
-        key = mix(key ^ column.astype(np.uint64), k)
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return first, n
-
-
-def _count_bigrams(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(shared.value)
-        end, parts, tokens = numbers.row([END]), [], 0
-
-        def out() -> pa.RecordBatch:
-            row = np.concatenate([end, *parts])
-            h, w = row[:-1], row[1:]
-            first, n = _pairs(h, w)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(n.astype(np.int64))], names=["h", "w", "n"])
-
-        for words in _texts(batches):
-            parts += [numbers.row(words), end]
-            tokens += len(words) + 1
-            if tokens >= FLUSH_TOKENS:
-                yield out()
-                tokens = 0
-        yield out()
-
-    return count
+def least(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0, of what was never seen."""
+    return np.where(levels > 0, BASE ** (levels - 1.0), 0.0)
 
 
 class CountFilter:
-    """A log-frequency Bloom filter of counts of 64-bit keys, all at least `least`."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: float):
-        self.least = least
-        levels = self.level(counts)
-        total = int(levels.sum()) if len(levels) else 0
-        self.bits = max(64, total * BITS)
-        self.field = np.zeros((self.bits + 7) // 8, np.uint8)
+    """A log-frequency Bloom filter of counts of 64-bit keys."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        levels = level(counts)
+        self.bits = max(64, int(levels.sum()) * BITS)
+        field = np.zeros(self.bits, bool)
         for q in range(1, int(levels.max(initial=0)) + 1):
             some = keys[levels >= q]
             for k in range(HASHES):
-                at = self._places(some, q, k)
-                np.bitwise_or.at(self.field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def level(self, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.floor(np.log(np.maximum(counts / self.least, 1.0)) / np.log(BASE) + 1e-9)).astype(np.int64)
-
-    def value(self, levels: np.ndarray) -> np.ndarray:
-        """The count that a level stands for: the geometric middle of its range."""
-        return self.least * BASE ** (levels - 0.5)
+                field[self._places(some, q, k)] = True
+        self.field = np.packbits(field, bitorder="little")
 
     def _places(self, keys: np.ndarray, q: int, k: int) -> np.ndarray:
-        first = mix(keys.astype(np.uint64), 2 * q)
-        second = mix(keys.astype(np.uint64), 2 * q + 1) | np.uint64(1)
+        first = mix(keys, 2 * q)
+        second = mix(keys, 2 * q + 1) | np.uint64(1)
         return (first + np.uint64(k) * second) % np.uint64(self.bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, 0 if it isn't there."""
-        found, alive, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        found, alive, q = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
         while len(alive):
             q += 1
+            first, second = mix(keys[alive], 2 * q), mix(keys[alive], 2 * q + 1) | np.uint64(1)
             for k in range(HASHES):
-                at = self._places(keys[alive], q, k)
-                alive = alive[(self.field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
+                at = (first + np.uint64(k) * second) % np.uint64(self.bits)
+                hit = (self.field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    alive, first, second = alive[hit], first[hit], second[hit]
             found[alive] = q
         return found
 
 
-class Model:
-    """What the scoring tasks need: frequent tokens, their log10 unigram probabilities, each history's factors, the filter.
+class Numbers(dict):
+    """64-bit numbers of words."""
 
-    codes, bigrams: the frequent bigrams and their counts. histories: the discount, and each frequent token's factor and log10
-    back-off weight, of all bigrams; without it they are those of the bigrams given.
-    """
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = xxhash.xxh3_64_intdigest(word)
+        return number
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, codes: np.ndarray, bigrams: np.ndarray, histories: tuple | None = None):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.size, self.n = max(1, len(words)), n
-        self.whole = np.log10(n + v + 1.0)
-        self.log_count = np.log10(counts + 1.0) if len(counts) else np.zeros(1)
-        single = (counts + 1.0) / (n + v + 1.0)
-        # a level's start, so that levels stand for the same counts in every corpus
-        least = BASE ** np.floor(np.log(max(1.0, n / SHARE)) / np.log(BASE) + 1e-9)
-        self.filter = CountFilter(mix(codes.astype(np.uint64)), bigrams, least)
-        self.log_single = np.log10(single) if len(single) else np.zeros(1)
-        if histories is not None:
-            self.less, self.factor, self.log_backoff = histories
-            return
-        h, w = codes // self.size, codes % self.size
-        self.less = discount(int((bigrams == 1).sum()), int((bigrams == 2).sum()))
-        rounded = np.bincount(h, self.worth(self.filter.level(bigrams)), self.size)
-        true = np.bincount(h, np.maximum(bigrams - self.less, 0.02 * bigrams), self.size)
-        taken = np.bincount(h, single[w] if len(w) else None, self.size)
-        total = np.maximum(counts, 1) if len(counts) else np.ones(1)
-        self.factor = (1 - DISCOUNT) * true / np.maximum(rounded, 1e-300) / total
-        rest = np.maximum(1 - (1 - DISCOUNT) * true / total, DISCOUNT / 2)
-        self.log_backoff = np.where(true > 0, np.log10(rest / np.maximum(1 - taken, 1e-12)), 0.0)
-
-    def worth(self, levels: np.ndarray) -> np.ndarray:
-        """The count of a level after absolute discounting; the discount is estimated from how many bigrams occur once and twice."""
-        value = self.filter.value(levels)
-        return np.maximum(value - self.less, 0.02 * value)
-
-    def found(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """gains() as far as the frequent tokens and bigrams tell, and whether the bigram is in the filter."""
-        h, w = row[:-1], row[1:]
-        frequent = h < RARE
-        out, hit = np.zeros(len(h)), np.zeros(len(h), bool)
-        out[frequent] = self.log_backoff[h[frequent]]
-        both = np.flatnonzero(frequent & (w < RARE))
-        codes, where = np.unique(h[both] * self.size + w[both], return_inverse=True)
-        levels = self.filter.levels(mix(codes.astype(np.uint64)))
-        # a false hit on a history without bigrams has factor 0
-        there = (levels[where] > 0) & (self.factor[h[both]] > 0)
-        at = both[there]
-        out[at] = np.log10(self.worth(levels[where][there]) * self.factor[h[at]]) - self.log_single[w[at]]
-        hit[at] = True
-        return out, hit
-
-    def gains(self, row: np.ndarray) -> np.ndarray:
-        """log10 P(token | history) less the token's log10 unigram probability, for all but the first of a row of token numbers."""
-        return self.found(row)[0]
-
-
-def discount(once: int, twice: int) -> float:
-    return once / (once + 2 * twice) if once else 0.75
-
-
-_SCHEMA = "row long, doc_id long, n_tokens long, known long, log_sum double, gain double, asked array<struct<h:long,w:long,n:int>>"
-
-
-def _score(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        numbers = Numbers(model.number)
-        base, n = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                end = numbers.row([END])
-                texts = [[*words, END] for words in _texts([part])]
-                flat = [w for words in texts for w in words]
-                tokens = numbers.row(flat)
-                whole = np.concatenate([end, tokens])
-                owner = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
-                gains, hit = model.found(whole)
-                head = tokens < RARE
-                logs = np.zeros(len(tokens))
-                logs[head] = model.log_count[tokens[head]]
-                # rare tokens and bigrams that aren't in the filter are asked of the table
-                rare = tokens[~head]
-                other = np.fromiter(map(numbers.other.__getitem__, rare.tolist()), np.int64, len(rare))
-                who, h, w = (np.concatenate(x) for x in ((owner[~head], owner[~hit]), (other, whole[:-1][~hit]), (rare, tokens[~hit])))
-                first, times = _pairs(who, h, w)
-                order = np.argsort(who[first], kind="stable")
-                first, times = first[order], times[order]
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(who[first], minlength=len(texts)))])
-                asked = pa.StructArray.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(times.astype(np.int32))], ["h", "w", "n"])
-                columns = [
-                    pa.array(np.arange(base + n, base + n + len(texts))),
-                    part.column("doc_id"),
-                    pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int64)),
-                    pa.array(np.bincount(owner, head, len(texts)).astype(np.int64)),
-                    pa.array(np.bincount(owner, logs, len(texts))),
-                    pa.array(np.bincount(owner, gains, len(texts))),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), asked),
-                ]
-                n += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "log_sum", "gain", "asked"])
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-    return score
 
+_BATCH = "batch long, doc_ids array<long>, held array<boolean>, trains array<boolean>, lengths array<long>, n long, words binary, tokens binary"
+_KEYS = "batch long, shard int, kind int, keys binary, counts binary"
+_ANSWERS = "batch long, shard int, kind int, answer binary, n long, v long"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+WORDS, BIGRAMS = 0, 1
 
-def _value(c: Column) -> Column:
-    """The count that the level of a count stands for, as in CountFilter."""
-    return F.pow(F.lit(BASE), F.floor(F.ln(c) / F.lit(float(np.log(BASE))) + 1e-9) + 0.5)
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_BATCH rows: texts as numbers of the batch's different words, each text with its end token."""
+    numbers = Numbers()
+    ids, held, trains, rows, size = [], [], [], [], 0
 
-def _with(rows: DataFrame, column: str, frequent: DataFrame, rare: DataFrame) -> DataFrame:
-    """rows joined by their number `column` to tables of `id`: the frequent one is broadcast, so that no key is hot in the shuffle."""
-    some = rows.filter(F.col(column) < RARE).join(F.broadcast(frequent), F.col(column) == F.col("id")).drop("id")
-    return some.unionByName(rows.filter(F.col(column) >= RARE).join(rare, F.col(column) == F.col("id")).drop("id"))
+    def out() -> pa.RecordBatch:
+        words, tokens = np.unique(np.concatenate(rows), return_inverse=True)
+        values = [[uuid.uuid4().int >> 65], [list(ids)], [list(held)], [list(trains)], [[len(r) for r in rows]], [size], [words.tobytes()], [tokens.astype(np.int32).tobytes()]]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+        for held_rows in (ids, held, trains, rows):
+            held_rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BATCH.split(", ")])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for text, i, h, t in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("doc_id", "held", "train")), strict=True):
+                rows.append(numbers.of([*(text or b"").lower().split(), END]))
+                ids.append(i)
+                held.append(h)
+                trains.append(t)
+                size += len(rows[-1])
+                if size >= BATCH_TOKENS:
+                    yield out()
+                    size = 0
+    if rows:
+        yield out()
+
+
+class Batch:
+    """One _BATCH row: its words, and its different bigrams (codes of two places in words) with the one at each place."""
+
+    def __init__(self, row: dict):
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        end = np.searchsorted(self.words, np.uint64(xxhash.xxh3_64_intdigest(END)))
+        before = np.concatenate([[end], self.tokens[:-1]])
+        before[np.cumsum(self.lengths)[:-1]] = end  # a text's first word follows an end
+        codes, self.bigram = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        self.first, self.second = codes // len(self.words), codes % len(self.words)
+        self.keys = mix(self.words[self.first] ^ mix(self.words[self.second], 31), 37)
+
+    def counts(self, trains: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and each bigram occurs in training texts."""
+        weight = np.array(trains, bool)[self.owner]
+        return np.bincount(self.tokens[weight], minlength=len(self.words)), np.bincount(self.bigram[weight], minlength=len(self.keys))
+
+
+def shard_order(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys by shard, and where each shard's begin."""
+    of = ((mix(keys, 41) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(shards + 1, dtype=np.uint64))
+
+
+def _send(shards: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                row = rows.slice(k, 1).to_pylist()[0]
+                batch = Batch(row)
+                for kind, keys, counts in zip((WORDS, BIGRAMS), (batch.words, batch.keys), batch.counts(row["trains"]), strict=True):
+                    order, cuts = shard_order(keys, shards)
+                    full = np.flatnonzero(cuts[1:] > cuts[:-1])
+                    parts = [order[cuts[s] : cuts[s + 1]] for s in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row["batch"]] * len(full), pa.int64()),
+                            pa.array(full, pa.int32()),
+                            pa.array([kind] * len(full), pa.int32()),
+                            pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+                            pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+                        ],
+                        names=["batch", "shard", "kind", "keys", "counts"],
+                    )
+
+    return send
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Answers of one shard: exact counts of words, the level that the shard's filter has for bigrams; n and v add up to the training tokens and their different words."""
+    out = {name: [] for name in ("batch", "shard", "kind", "answer", "n", "v")}
+    for kind in (WORDS, BIGRAMS):
+        rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
+        if not rows.num_rows:
+            continue
+        sent = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+        if kind == WORDS:
+            answers = counts[at]
+        else:
+            answers = CountFilter(keys[counts > 0], counts[counts > 0]).levels(keys)[at]
+        cuts = np.cumsum([len(s) for s in sent])[:-1]
+        out["answer"] += [a.tobytes() for a in np.split(answers, cuts)]
+        for name in ("batch", "shard", "kind"):
+            out[name] += rows.column(name).to_pylist()
+        own = kind == WORDS
+        out["n"] += [int(counts.sum()) if own else 0] + [0] * (len(sent) - 1)
+        out["v"] += [int((counts > 0).sum()) if own else 0] + [0] * (len(sent) - 1)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), kinds, strict=True)})
+
+
+def probabilities(levels: np.ndarray, history: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """P(w | h) from a bigram's level, its history's count and its word's own probability."""
+    return (least(levels) + PSEUDO * single) / (history + PSEUDO)
+
+
+def _score(shards: int, n: int, v: int):
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
+        for row in texts.to_pylist():
+            batch = Batch(row)
+            given = {(k, s): a for k, s, a in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True)}
+            told = []
+            for kind, keys, dtype in ((WORDS, batch.words, np.int64), (BIGRAMS, batch.keys, np.uint8)):
+                order, _ = shard_order(keys, shards)
+                values = np.empty(len(keys), np.int64)
+                values[order] = np.frombuffer(b"".join(given.get((kind, s), b"") for s in range(shards)), dtype)
+                told.append(values)
+            counts, levels = told
+            single = (counts + 1.0) / (n + v + 1.0)
+            log = np.log10(probabilities(levels, counts[batch.first], single[batch.second]))
+            of = lambda weights: np.bincount(batch.owner, weights, len(batch.lengths))  # noqa: B023, E731
+            found["doc_id"] += row["doc_ids"]
+            found["held_out"] += row["held"]
+            found["n_tokens"] += batch.lengths.tolist()
+            found["n_known"] += of(counts[batch.tokens] > 0).astype(np.int64).tolist()
+            found["base_score"] += of(np.log10(single)[batch.tokens]).tolist()
+            found["score"] += of(log[batch.bigram]).tolist()
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), kinds, strict=True)})
+
+    return score
 
 
 def held_out_text(doc_id: int, modulus: int = 7) -> int:
@@ -298,81 +254,18 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Texts with the remainder `held_out` are scored but not learnt from; a null doc_id has none and is learnt from neither.
-    A null or empty text is its end token. Repeated rows are each learnt from and answered; an empty table gives an empty
-    result; without a training row every count is 0; columns other than doc_id and text are ignored.
+    A null or empty text is its end token. Repeated rows are each learnt from and answered, ties alike; an empty table gives an
+    empty result; without a training row every count is 0; columns other than doc_id and text are ignored. A text is taken
+    whole: one longer than BATCH_TOKENS is a batch of its own, about 50 bytes a token in its worker.
     """
-    docs = documents(docs)
-    spark = docs.sparkSession
-    train = docs.filter(remainder(F.col("doc_id"), modulus) != held_out).select("text")
-    single = train.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    single = materialize(single)
-    n, v = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = single.filter(F.col("c") * SHARE >= n).orderBy(F.desc("c"), "word").toArrow()
-    words, counts = head.column("word").cast(pa.binary()).to_pylist(), head.column("c").to_numpy()
-    size, whole = max(1, len(words)), float(np.log10(n + v + 1.0))
-    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    number, other = _number(F.col("word"))
-    rare = single.filter(F.col("c") * SHARE < n).select(number.alias("id"), other.alias("other"), F.col("c").alias("cw"))
-    frequent = spark.createDataFrame(pa.table({"id": np.arange(len(words)), "cw": counts.astype(np.int64)}), "id long, cw long")
-    bigrams = train.mapInArrow(_count_bigrams(numbers), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c"))
-    bigrams = materialize(_with(materialize(bigrams), "w", frequent, rare.select("id", "cw")))
-
-    c = F.col("c")
-    histories = bigrams.groupBy("h").agg(
-        F.sum("c").alias("total"),
-        F.count("*").alias("m"),
-        F.count_if(c == 1).alias("once"),
-        F.count_if(c == 2).alias("twice"),
-        F.sum(_value(c)).alias("value"),
-        F.sum(F.col("cw") + F.lit(1.0)).alias("taken"),
-    )
-    histories = materialize(histories)
-    less = discount(*histories.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first())
-    # no discounted count but that of a bigram that occurs once can fall below its fiftieth, and no discounted level at all
-    true = F.col("total") - F.col("m") * F.lit(less) + F.col("once") * F.lit(max(1 - less, 0.02) - (1 - less))
-    part = F.lit(1 - DISCOUNT) * true / F.col("total")
-    factor = part / (F.col("value") - F.col("m") * F.lit(less))
-    rest = F.greatest(1 - part, F.lit(DISCOUNT / 2)) / F.greatest(1 - F.col("taken") / F.lit(n + v + 1.0), F.lit(1e-12))
-    histories = histories.select(F.col("h").alias("id"), factor.alias("factor"), F.log10(rest).alias("backoff"))
-
-    # every training token is the history of a bigram
-    own = histories.filter(F.col("id") < RARE).orderBy("id").toArrow()
-    known = (own.column("factor").to_numpy(), own.column("backoff").to_numpy()) if len(words) else (np.zeros(1), np.zeros(1))
-    kept = bigrams.filter(c * SHARE >= n).select((F.col("h") * size + F.col("w")).alias("code"), "c").toArrow()
-    model = Model(words, counts.astype(np.float64), n, v, kept.column("code").to_numpy(), kept.column("c").to_numpy().astype(np.float64), (less, *known))
-
-    # what a bigram adds to the back-off that its history has anyway
-    rest = _with(bigrams.filter(c * SHARE < n), "h", histories.filter(F.col("id") < RARE), histories.filter(F.col("id") >= RARE))
-    gain = F.log10((_value(c) - F.lit(less)) * F.col("factor")) - F.log10(F.col("cw") + F.lit(1.0)) + F.lit(whole) - F.col("backoff")
-    nothing = F.lit(0.0)
-    rows = rare.join(histories.filter(F.col("id") >= RARE), "id").select(F.col("other").alias("h"), F.col("id").alias("w"), F.log10(F.col("cw") + F.lit(1.0)).alias("log_c"), F.col("backoff").alias("add"))
-    answers = rest.select("h", "w", nothing.alias("log_c"), gain.alias("add")).unionByName(rows)
-
-    scored = docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCHEMA)
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    rows = scored.select("row", "doc_id", "n_tokens", "known", "log_sum", "gain", F.posexplode_outer("asked").alias("pos", "r"))
-    # a text that asks nothing still needs a row; its key is its own, so that such texts spread
-    rows = rows.select(
-        "row",
-        *[F.when(first, F.col(x)).alias(x) for x in ("doc_id", "n_tokens", "known", "log_sum", "gain")],
-        F.coalesce(F.col("r.h"), F.col("row")).alias("h"),
-        F.coalesce(F.col("r.w"), F.lit(-1)).alias("w"),
-        F.coalesce(F.col("r.n"), F.lit(0)).alias("times"),
-    )
-    joined = rows.join(answers, ["h", "w"], "left")
-    out = joined.groupBy("row").agg(
-        *[F.max(x).alias(x) for x in ("doc_id", "n_tokens", "known", "log_sum")],
-        F.coalesce(F.sum(F.col("times") * F.col("log_c")), nothing).alias("rare_sum"),
-        F.sum(F.when((F.col("h") < 0) & F.col("log_c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        (F.max("gain") + F.coalesce(F.sum(F.col("times") * F.col("add")), nothing)).alias("gain"),
-    )
-    base = F.col("log_sum") + F.col("rare_sum") - F.col("n_tokens") * F.lit(whole)
-    return out.select(
-        "doc_id",
-        F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.col("rare_known")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
-    )
+    out = F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False))
+    learnt = F.coalesce(remainder(F.col("doc_id"), modulus) != held_out, F.lit(False))
+    given = documents(docs).select("doc_id", out.alias("held"), learnt.alias("train"), "text")
+    texts = materialize(given.mapInArrow(_batches, _BATCH))
+    tokens = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, ceil(2 * tokens / SHARD_KEYS))
+    sent = texts.select("batch", "trains", "lengths", "words", "tokens").mapInArrow(_send(shards), _KEYS)
+    answers = materialize(sent.groupBy("shard").applyInArrow(_answer, _ANSWERS))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    scored = texts.drop("trains", "n").groupBy("batch").cogroup(answers.select("batch", "kind", "shard", "answer").groupBy("batch")).applyInArrow(_score(shards, n, v), _SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
