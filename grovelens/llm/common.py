@@ -16,6 +16,9 @@ BLANK = r"[\x20\x09-\x0D]"
 #: Keys with more rows than this are split off by skew_join; the limit doubles until at most HOT_KEYS keys exceed it.
 HOT_ROWS = 1_000
 HOT_KEYS = 500_000
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
 
 _own_dir: str | None = None
 _written: dict[str, SparkSession] = {}
@@ -37,6 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES: executor and Python worker each hold a few of them at once."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession

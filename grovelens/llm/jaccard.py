@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import discard, documents, free_name, materialize, skew_join
+from grovelens.llm.common import bound_batches, discard, documents, free_name, materialize, skew_join
 from grovelens.llm.shingles import mix, shingle_hashes
 
 WORDS = 4
@@ -47,8 +47,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK_ROWS = 1_000
 BLOCK_ELEMENTS = 1_000_000
 #: Elements of two blocks that are multiplied one by one at a time, and columns that are multiplied as a dense matrix at a time.
-STEP = 4_000_000
-COLUMNS = 512
+STEP = 1_000_000
+COLUMNS = 256
 
 
 def need(n, percent: int):
@@ -343,6 +343,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
     table gives an empty result; columns other than doc_id and text are ignored. A text is taken whole, however long: a
     worker holds the sets of up to 512 texts, or of two blocks, at once, 8 bytes a shingle.
     """
+    bound_batches(docs.sparkSession)
     docs = documents(docs)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     rows = materialize(marked.mapInArrow(_rows(words, percent), "doc_id long, mark long, node long, n_shingles long, head array<long>"))

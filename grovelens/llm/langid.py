@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import documents, materialize, remainder
+from grovelens.llm.common import bound_batches, documents, materialize, remainder
 
 DIMENSIONS = 1024
 #: Vectors of windows that a task keeps.
@@ -164,6 +164,7 @@ def _sum_bundles(table: pa.Table) -> pa.Table:
 
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = DIMENSIONS) -> Profiles:
     """Profiles from rows (doc_id, text, lang); rows with a null among them are left out."""
+    bound_batches(rows.sparkSession)
     rows = rows.select("doc_id", "text", "lang").dropna()
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -182,24 +183,27 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = DIM
     return Profiles(languages, codes, prototypes.astype(np.float32))
 
 
-def _predictor(model):
+def _predictor(model, pred: str, score: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                langs, scores = model.value.predict(part.column("__langid_text").to_pylist())
+                langs, scores = model.value.predict(part.column("text").cast(pa.string()).to_pylist())
                 kept = [part.column(c) for c in part.schema.names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "__langid_pred", "__langid_score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, pred, score])
 
     return predict
 
 
-def annotate(docs: DataFrame, model: Profiles) -> DataFrame:
-    """docs with __langid_text (its text), __langid_pred and __langid_score; a text that is null or has no letter is `und` with score 0."""
-    given = docs.withColumn("__langid_text", F.col("text").cast("string"))
+def annotate(docs: DataFrame, model: Profiles, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, pred and score, which docs must not have; a text that is null or has no letter is `und` with score 0.
+
+    Of languages with equal cosines, the first in their order is taken. A text is taken whole, however long, a part of its windows at a time.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
-    return given.mapInArrow(_predictor(shared), f"{schema}, __langid_pred string, __langid_score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_predictor(shared, pred, score), f"{schema}, `{pred}` string, `{score}` double")
 
 
 def training_rows(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:
@@ -211,9 +215,9 @@ def identify(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:
 
     held_out: the remainder of crc32(doc_id as text) by modulus is held_out (a null id is not learnt from and not held
     out). Without any labelled row every text is `und`. Repeated rows are each answered, an empty table gives an empty
-    result, further columns are ignored; lang, source and doc_id play no part in a prediction.
+    result, further columns are ignored; ties go to the first language in order; texts are taken whole; lang, source and doc_id play no part in a prediction.
     """
     model = learn(training_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), modulus, held_out))
     marked = annotate(documents(docs), model)
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False))
-    return marked.select("doc_id", out.alias("held_out"), F.col("__langid_pred").alias("lang_pred"), F.col("__langid_score").alias("score"))
+    return marked.select("doc_id", out.alias("held_out"), "lang_pred", "score")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import documents, materialize, remainder
+from grovelens.llm.common import bound_batches, documents, materialize, remainder
 from grovelens.llm.shingles import mix
 
 BASE = 1.25
@@ -258,6 +258,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     empty result; without a training row every count is 0; columns other than doc_id and text are ignored. A text is taken
     whole: one longer than BATCH_TOKENS is a batch of its own, about 50 bytes a token in its worker.
     """
+    bound_batches(docs.sparkSession)
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False))
     learnt = F.coalesce(remainder(F.col("doc_id"), modulus) != held_out, F.lit(False))
     given = documents(docs).select("doc_id", out.alias("held"), learnt.alias("train"), "text")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from grovelens.llm.bpe import encoder
-from grovelens.llm.common import documents
+from grovelens.llm.common import bound_batches, documents
 
 LENGTH = 2048
 GROUP_TOKENS = 1 << 22
@@ -167,8 +167,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_tokens: in
 
     length must be a power of two. A null or empty text is the end token alone. Repeated rows and null ids are packed as
     rows of their own; an empty table gives no sequence; columns other than doc_id and text are ignored. sequence_id
-    holds the task's number in its upper bits, so that tasks need not agree on a count.
+    holds the task's number in its upper bits, so that tasks need not agree on a count. Of documents of equal length, the first
+    read goes first, and of sequences of equal cost the first one takes it. A text is encoded whole, however long: its ids
+    are held by one task. Each task ends with sequences of shorter powers of two, so tables of many small partitions have
+    many of them; README has figures.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
+    bound_batches(docs.sparkSession)
     return documents(docs).mapInArrow(_packer(tokenizer, length, group_tokens), SCHEMA)

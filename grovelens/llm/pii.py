@@ -9,8 +9,9 @@ time in proportion to the text and no recursion, and find what the plain forms f
     card   [0-9]([\x20-]?[0-9])+                         13 to 19 digits, Luhn
     phone  \+[0-9][\x20().0-9-]+[0-9]                    9 to 15 digits
 
-A match that fails its check is dropped; no shorter one is tried in its place. iban (mod 97) and ssn are the method's own
-kinds, kept at a score of THRESHOLD or more; ssn reaches it only beside a context word.
+A match that fails its check is dropped; no shorter one is tried in its place. iban (mod 97), ssn and secret (a
+value that looks random, behind a name such as token, or in the form of a known key) are the method's own kinds, kept at a score
+of THRESHOLD or more; ssn reaches it only beside a context word.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovelens.llm.common import free_name
+
 THRESHOLD = 0.5
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 #: Characters before and after a span in which context words count.
@@ -54,6 +57,19 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(step(s, c))) == 1
 
 
+#: Values that are assigned to a name of a secret, and the forms of well-known keys.
+_SECRET = (
+    r"(?i)(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|access[_-]?token|client[_-]?secret|secret|token|passwd|password|pwd)"
+    r"[\x20\t]{0,4}[\"']?[\x20\t]{0,4}[:=][\x20\t]{0,4}[\"']?[A-Za-z0-9+/_=.-]{16,200}+"
+    r"|(?-i)(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}+|eyJ[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,4000}+\.[A-Za-z0-9_-]{10,2000}+)(?![A-Za-z0-9])"
+)
+
+
+def _random(value: Column) -> Column:
+    """Whether a value looks drawn rather than written: 16 characters or more, eight of them different, digits and letters among them."""
+    return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -72,6 +88,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda x: F.length(_digits(x)).between(9, 15), 0.6, "phone|call|tel|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(x, F.lit(" "), F.lit(""))), 0.8, "iban|account|konto|bank", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda x: ~x.rlike("^(000|666|9)|-00-|0000$"), 0.3, r"\bssn\b|social security|taxpayer", False),
+    Kind("secret", _SECRET, r"(?i)key|token|secret|passw|pwd|bearer|AKIA|gh[pousr]_|sk-|eyJ", lambda x: _random(F.regexp_replace(x, r"(?i)^[a-z_-]*[\x20\t]*[\"']?[\x20\t]*[:=][\x20\t]*[\"']?", "")), 0.7, "key|token|secret|credential|password", False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -123,7 +140,8 @@ def _span(k: Kind) -> Callable[[Column, Column, Column, Column], Column]:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with `into`: an array of (kind, start, end, score) by kind in table order, then start; places are code points, end exclusive.
 
-    A null or empty text has none. All other columns stay as they are, repeated rows are each answered.
+    A null or empty text has none. All other columns stay as they are, repeated rows and ties are each answered, an empty table
+    gives an empty one. A text is searched whole, in time linear in its length.
     """
     made = []
     for k in kinds:
@@ -145,7 +163,7 @@ def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
     Rows without a span, null texts among them, stay as they are. size: a column to set to the new length in code points
     wherever a text changed; columns keep their order.
     """
-    spans, merged, own = "__redact_spans", "__redact_merged", F.col(text)
+    spans, merged, own = free_name("spans", docs), free_name("merged", docs), F.col(text)
     df = with_spans(docs, text, spans)
     sorted_spans = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), F.upper(s["kind"]).alias("kind"))))
     empty = F.array().cast("array<struct<s:int,e:int,kind:string>>")

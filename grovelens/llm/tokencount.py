@@ -9,7 +9,6 @@ merges them.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from grovelens.llm.bpe import encoder
-from grovelens.llm.common import documents, shared_dir
+from grovelens.llm.common import bound_batches, documents, materialize, shared_dir, skew_join
 
 CACHE_SCHEMA = StructType([StructField("content", BinaryType()), StructField("tokenizer", BinaryType()), StructField("n_tokens", LongType())])
 
@@ -54,13 +53,15 @@ def read_cache(df: DataFrame, cache: str, tokenizer: bytes) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
-    cache: a folder in a store that all executors share, made if missing; None: a new one beside spark.checkpoint.dir's
-    other files. A null text counts as empty (0 tokens). Rows are answered one by one, repeated rows and null ids too; an
-    empty table gives an empty result; columns other than doc_id and text are ignored.
+    cache: a folder in a store that all executors share, made if missing; None: `token-counts` in spark.checkpoint.dir, which
+    later runs find again. A null text counts as empty (0 tokens). Rows are answered one by one, repeated rows, ties and null ids
+    too; an empty table gives an empty result; columns other than doc_id and text are ignored. A text is encoded whole, however
+    long, by one worker; copies of one content are answered by a join that splits hot contents off.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
-    cache = cache or f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or f"{shared_dir(spark).rstrip('/')}/token-counts"
+    bound_batches(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
@@ -73,5 +74,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str |
     found = misses.mapInArrow(_counter(tokenizer), "content binary, n_tokens long")
     found.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
-    sizes = texts.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "content")
-    return sizes.join(read_cache(docs, cache, version), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sizes = materialize(texts.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "content"))
+    return skew_join(sizes, read_cache(docs, cache, version), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
