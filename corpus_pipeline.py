@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelens.llm import decontam, jaccard, langid, packing, pii
-from grovelens.llm.common import materialize, table
+from grovelens.llm.common import free_name, materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The profiles are learnt from the stage's own labelled rows.
     """
     model = langid.learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"))
-    marked = langid.annotate(docs, model).filter(F.col("__langid_pred") != langid.UNKNOWN)
-    return marked.select(*[F.col("__langid_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    pred, score = free_name("pred", docs), free_name("score", docs)
+    marked = langid.annotate(docs, model, pred, score).filter(F.col(pred) != langid.UNKNOWN)
+    return marked.select(*[F.col(pred).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
