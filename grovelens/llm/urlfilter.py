@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import ascii_lower
+from grovelens.llm.common import ascii_lower, free_name, skew_join
 
 #: Rules (verdict, host, path).
 CONTRACT_RULES = [
@@ -54,7 +54,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
 
     A URL that no rule fits gets rule null and the verdict `otherwise`. Null, empty and malformed URLs have an empty host
     and path, fit no rule and are kept. Repeated rows are each returned; columns of urls named like an added one are
-    replaced. An empty rule table judges everything `otherwise`.
+    replaced. An empty rule table judges everything `otherwise`, an empty URL table gives an empty result. Of rules that fit
+    equally long, the longer host wins, then block, then the greater rule. A URL is taken whole, however long; expressions are built only in the rules' lengths.
     """
     given = urls.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     known = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict").filter("r_host is not null").distinct()
@@ -86,7 +87,14 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     asked = parts.select("host", "path", F.explode(expressions).alias("e")).select("host", "path", _digest(F.col("e.h"), F.col("e.p")).alias("asked"))
     asked = asked.withColumn("short", F.substring("asked", 1, PREFIX_BYTES))
     side = known.select("short", "digest", "found")
-    hits = asked.join(F.broadcast(side) if shapes["n"] <= BROADCAST_RULES else side, "short").filter(F.col("asked") == F.col("digest"))
-    best = hits.groupBy("host", "path").agg(F.max("found").alias("__found"))
-    joined = given.join(best, ["host", "path"], "left")
-    return joined.withColumns({"rule": F.col("__found.rule"), "verdict": F.coalesce("__found.verdict", F.lit(otherwise))}).drop("__found")
+    if shapes["n"] <= BROADCAST_RULES:
+        hits = asked.join(F.broadcast(side), "short").filter(F.col("asked") == F.col("digest"))
+    else:
+        # an expression that many URLs share meets the rules once, and goes back to its URLs without filling one task
+        each = asked.select("asked", "short").distinct().join(side, "short").filter(F.col("asked") == F.col("digest"))
+        hits = skew_join(asked, each.groupBy("asked").agg(F.max("found").alias("found")), "asked")
+    best = hits.groupBy("host", "path").agg(F.max("found").alias("found"))
+    key, found = free_name("key", given), free_name("found", given)
+    best = best.select(_digest(F.col("host"), F.col("path")).alias(key), F.col("found").alias(found))
+    joined = skew_join(given.withColumn(key, _digest(F.col("host"), F.col("path"))), best, key, "left")
+    return joined.withColumns({"rule": F.col(f"{found}.rule"), "verdict": F.coalesce(f"{found}.verdict", F.lit(otherwise))}).drop(found, key)

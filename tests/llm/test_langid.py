@@ -18,6 +18,32 @@ def texts(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
 
+def plain_windows(text):
+    """Three-character windows of a text whose middle is a letter; what is no letter is one space."""
+    out, runs = [], "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    marked = f" {' '.join(runs.split())} "
+    for i in range(len(marked) - 2):
+        if marked[i + 1] != " ":
+            out.append(marked[i : i + 3])
+    return out
+
+
+def test_prototypes_are_the_sums_of_all_training_windows(texts):
+    """Learning against plain bundling: letters' vectors rotated by their place, multiplied, and summed for each language."""
+    import numpy as np
+
+    model, sums = langid.learn(texts), {}
+    for r in texts.collect():
+        for w in plain_windows(r.text):
+            v = np.ones(langid.DIMENSIONS, int)
+            for turn, c in zip((2, 1, 0), w, strict=True):
+                v = v * np.roll(langid.letter_vector(ord(c), langid.DIMENSIONS), turn)
+            sums[r.lang] = sums.get(r.lang, 0) + v
+    assert model.languages == sorted(sums)
+    for lang, prototype in zip(model.languages, model.prototypes, strict=True):
+        assert abs(prototype - sums[lang] / np.linalg.norm(sums[lang])).max() < 1e-6
+
+
 def test_held_out_accuracy(texts):
     got = langid.identify(texts).join(texts.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
