@@ -40,8 +40,11 @@ def place_keys(name: Column, d: int) -> Column:
 
     def keys(shape: Column) -> Column:
         start, size = _span(shape["n"], shape["k"], d + 1)
-        # of a part's shifts, those that leave room for it in the name
-        first, last = F.greatest(F.lit(1), start - d), F.least(length - size + 1, start + d)
+        # the k parts to the left can have taken k edits and the parts to the right what is left of d: a part that is
+        # shifted further from either end than that isn't the only one that the two have in common
+        k, shift = shape["k"], length - shape["n"]
+        first = F.greatest(F.lit(1), start - k, start + shift - (d - k))
+        last = F.least(length - size + 1, start + k, start + shift + (d - k))
         places = F.when(first <= last, F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda at: F.struct(shape["n"].alias("length"), shape["k"].alias("part"), F.substr(name, at, size).alias("piece")))
 

@@ -42,6 +42,18 @@ def read(root, name):
         return f.read()
 
 
+@pytest.fixture(autouse=True)
+def small(spark):
+    """Settings for plans over a handful of rows, which compiling and planning again would take most of the time of."""
+    wanted = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def tree(tmp_path):
     write(tmp_path, FILES)
@@ -128,15 +140,6 @@ def test_templates_and_fill(spark, tree):
         assert main(["sync", tree], spark) == 1
 
 
-@pytest.fixture(autouse=True)
-def interpreted(spark):
-    """Plans over a handful of rows: compiling them would take most of the time."""
-    before = spark.conf.get("spark.sql.codegen.wholeStage")
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.set("spark.sql.codegen.wholeStage", before)
-
-
 def test_empty_tree(spark, tmp_path):
     """A preview of nothing, which writes nothing."""
     report = verbs.run(spark, str(tmp_path), "try")
