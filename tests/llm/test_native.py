@@ -224,6 +224,49 @@ def test_quality_base(spark, odd, none):
     assert quality.judge(none).count() == 0
 
 
+def plain_measures(text):
+    """The measures of the method's own rules by plain Python."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(words), sum(map(len, words))
+    ratio = lambda a, b: a / b if b else 0.0
+    capitals, small = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    return {
+        "symbol_ratio": ratio(len(re.findall(r"[#*$%&|<>]", text)), n),
+        "dup_line_ratio": ratio(len(lines) - len(set(lines)), len(lines)),
+        "mean_word_length": ratio(chars, n),
+        "longest_word": max(map(len, words), default=0),
+        "alphabetic_ratio": ratio(sum(any(c.isalpha() for c in w) for w in words), n),
+        "capital_ratio": ratio(capitals, capitals + small),
+        "exclamation_ratio": ratio(text.count("!"), n),
+        "stop_word_ratio": ratio(sum(w in quality.STOP_WORDS for w in words), n),
+        "bullet_ratio": ratio(sum(bool(re.match(r"[\x20\t]*[-*•]", x)) for x in lines), len(lines)),
+        "ellipsis_ratio": ratio(sum(bool(re.search(r"(\.\.\.|…)[\x20\t\r]*\Z", x)) for x in lines), len(lines)),
+        "n_words": n,
+    }
+
+
+def test_quality_rules_against_plain_code(spark):
+    rng = random.Random(15)
+    kinds = [["the", "of", "cat", "dog", "house", "runs"], ["CAPITAL", "WORDS", "the"], ["#", "$$$", "|||", "x"], ["wow!", "no!", "go!!"], ["12", "345", "7"], ["- a", "* b", "• c"], ["end...", "off…", "on"], ["x" * 1200, "of"], ["a", "b"], ["same line here"]]
+    texts = []
+    for i in range(200):
+        words = [rng.choice(rng.choice(kinds) if rng.random() < 0.2 else kinds[i % 10]) for _ in range(rng.randint(0, 150))]
+        texts.append("".join(w + rng.choice([" ", " ", "\n"]) for w in words))
+    failed = set()
+    for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        m, want = plain_measures(texts[r.doc_id]), []
+        for rule in quality.RULES:
+            value = m[rule.measure]
+            if not ((rule.words and m["n_words"] < rule.words) or ((rule.low is None or value >= rule.low) and (rule.high is None or value <= rule.high))):
+                want.append(rule.name)
+        own = [x for x in r.failed.split(",") if x in {q.name for q in quality.RULES}]
+        assert own == want, texts[r.doc_id][:200]
+        failed |= set(want)
+    assert failed == {q.name for q in quality.RULES}
+
+
 def test_quality_plan_has_no_user_function_and_no_shuffle(spark, odd):
     plan = quality.judge(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
