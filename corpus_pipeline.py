@@ -19,7 +19,8 @@ TOKENIZER = "byte_bpe_50k.json"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is known stay; texts that are null or have no letter (`und`) go, and lang becomes the predicted one.
 
-    The profiles are learnt from the stage's own labelled rows.
+    The profiles are learnt from the stage's own labelled rows; without any, every row goes. Repeated rows and null ids are each judged,
+    ties go to the first language in order, texts are taken whole, an empty table stays empty.
     """
     model = langid.learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"))
     pred, score = free_name("pred", docs), free_name("score", docs)
@@ -28,22 +29,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays.
+
+    Null and wordless texts link with nothing and stay. Of repeated rows one stays; a row with a null id stays only where no row of its
+    component has one. Texts are compared whole; an empty table stays empty.
+    """
     return jaccard.representatives(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds an item of `benchmark` go."""
+    """Rows whose text holds an item of `benchmark` go, repeated rows and null ids alike; null texts stay, an empty table or benchmark changes nothing."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind in angle brackets; every row stays."""
+    """Spans of personal data are replaced by their kind in angle brackets; every row stays, null texts, repeated rows and null ids as they are."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences. A null text is the end token alone, repeated rows and null ids are packed one by one, an empty table gives no piece."""
     pieces = packing.pack(docs, public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -56,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the first, second and last stage; tests hold each against a brute-force version.
+#: SQL can't express the first, second and last stage; tests hold the whole against a brute-force version.
 ORACLE_SQL = None
 
 
