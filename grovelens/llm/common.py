@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -40,6 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the machine: an idle worker then keeps none of what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, without that call
+
+
+def trimmed(run):
+    """run (batches to batches), with give_back() when a task is done."""
+
+    def batches(given):
+        try:
+            yield from run(given)
+        finally:
+            give_back()
+
+    return batches
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES: executor and Python worker each hold a few of them at once."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

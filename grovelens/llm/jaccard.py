@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import bound_batches, discard, documents, free_name, materialize, skew_join
+from grovelens.llm.common import bound_batches, discard, documents, free_name, materialize, skew_join, trimmed
 from grovelens.llm.shingles import mix, shingle_hashes
 
 WORDS = 4
@@ -260,7 +260,7 @@ def _again(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     given = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     texts = given.join(side.select("node", "doc_id", "mark"), (F.col("t") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    return texts.select("text", "node").mapInArrow(_sets(words), "node long, row long, elements array<long>")
+    return texts.select("text", "node").mapInArrow(trimmed(_sets(words)), "node long, row long, elements array<long>")
 
 
 def _alone(rows: DataFrame, elements: str) -> DataFrame:
@@ -346,7 +346,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataF
     bound_batches(docs.sparkSession)
     docs = documents(docs)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    rows = materialize(marked.mapInArrow(_rows(words, percent), "doc_id long, mark long, node long, n_shingles long, head array<long>"))
+    rows = materialize(marked.mapInArrow(trimmed(_rows(words, percent)), "doc_id long, mark long, node long, n_shingles long, head array<long>"))
     matrix = incidence(docs, rows, words, percent)
     first = F.slice("elements", F.lit(1), F.size("elements") - need("n", percent) + 1)
     prefix = materialize(matrix.select("node", "n", "degree", F.explode(first).alias("shingle")))

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import bound_batches, documents, materialize, remainder
+from grovelens.llm.common import bound_batches, documents, materialize, remainder, trimmed
 
 DIMENSIONS = 1024
 #: Vectors of windows that a task keeps.
 VECTORS = 12_288
+#: Of these, those that are multiplied at a time.
+PRODUCT = 1_024
 #: Training rows for each language: all of them up to about this many, a share drawn by the hash of doc_id beyond it.
 SAMPLE_ROWS = 20_000
 SEED = 6_021
@@ -117,8 +119,10 @@ class Profiles:
         for at in range(0, len(used), VECTORS):
             some = (where >= at) & (where < at + VECTORS)
             size = min(VECTORS, len(used) - at)
-            known = np.bincount(owner[found][some] * size + where[some] - at, minlength=n * size).reshape(n, size).astype(np.float32)
-            bundles += known @ self.vectors(used[at : at + size]).astype(np.float32)
+            known = np.bincount(owner[found][some] * size + where[some] - at, minlength=n * size).reshape(n, size)
+            vectors = self.vectors(used[at : at + size])
+            for low in range(0, size, PRODUCT):
+                bundles += known[:, low : low + PRODUCT].astype(np.float32) @ vectors[low : low + PRODUCT].astype(np.float32)
         strange = np.zeros(n)
         if not found.all():
             pairs, counts = np.unique(np.stack([owner[~found], codes[~found]]), axis=1, return_counts=True)
@@ -172,11 +176,11 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = DIM
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))])
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    counts = drawn.select("text", "lang").mapInArrow(_window_counts, "lang string, code long, n long")
+    counts = drawn.select("text", "lang").mapInArrow(trimmed(_window_counts), "lang string, code long, n long")
     counts = materialize(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")))
     codes = np.sort(counts.select("code").distinct().toArrow().column("code").to_numpy())
     # sums of whole numbers: their order doesn't matter
-    summed = counts.mapInArrow(_bundles(dimensions), "lang string, bundle array<double>").groupBy("lang").applyInArrow(_sum_bundles, "lang string, bundle array<double>")
+    summed = counts.mapInArrow(trimmed(_bundles(dimensions)), "lang string, bundle array<double>").groupBy("lang").applyInArrow(_sum_bundles, "lang string, bundle array<double>")
     bundles = {r["lang"]: r["bundle"] for r in summed.collect()}
     prototypes = np.array([bundles.get(lang, [0.0] * dimensions) for lang in languages])
     prototypes /= np.maximum(np.sqrt((prototypes**2).sum(1, keepdims=True)), 1e-12)
@@ -203,7 +207,7 @@ def annotate(docs: DataFrame, model: Profiles, pred: str = "lang_pred", score: s
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predictor(shared, pred, score), f"{schema}, `{pred}` string, `{score}` double")
+    return docs.mapInArrow(trimmed(_predictor(shared, pred, score)), f"{schema}, `{pred}` string, `{score}` double")
 
 
 def training_rows(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import bound_batches, documents, materialize, remainder
+from grovelens.llm.common import bound_batches, documents, give_back, materialize, remainder, trimmed
 from grovelens.llm.shingles import mix
 
 BASE = 1.25
@@ -209,6 +209,7 @@ def _answer(table: pa.Table) -> pa.Table:
         out["n"] += [int(counts.sum()) if own else 0] + [0] * (len(sent) - 1)
         out["v"] += [int((counts > 0).sum()) if own else 0] + [0] * (len(sent) - 1)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    give_back()
     return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), kinds, strict=True)})
 
 
@@ -240,6 +241,7 @@ def _score(shards: int, n: int, v: int):
             found["base_score"] += of(np.log10(single)[batch.tokens]).tolist()
             found["score"] += of(log[batch.bigram]).tolist()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        give_back()
         return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), kinds, strict=True)})
 
     return score
@@ -262,10 +264,10 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False))
     learnt = F.coalesce(remainder(F.col("doc_id"), modulus) != held_out, F.lit(False))
     given = documents(docs).select("doc_id", out.alias("held"), learnt.alias("train"), "text")
-    texts = materialize(given.mapInArrow(_batches, _BATCH))
+    texts = materialize(given.mapInArrow(trimmed(_batches), _BATCH))
     tokens = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, ceil(2 * tokens / SHARD_KEYS))
-    sent = texts.select("batch", "trains", "lengths", "words", "tokens").mapInArrow(_send(shards), _KEYS)
+    sent = texts.select("batch", "trains", "lengths", "words", "tokens").mapInArrow(trimmed(_send(shards)), _KEYS)
     answers = materialize(sent.groupBy("shard").applyInArrow(_answer, _ANSWERS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     scored = texts.drop("trains", "n").groupBy("batch").cogroup(answers.select("batch", "kind", "shard", "answer").groupBy("batch")).applyInArrow(_score(shards, n, v), _SCORES)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from grovelens.llm.bpe import encoder
-from grovelens.llm.common import bound_batches, documents
+from grovelens.llm.common import bound_batches, documents, trimmed
 
 LENGTH = 2048
 GROUP_TOKENS = 1 << 22
@@ -175,4 +175,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_tokens: in
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     bound_batches(docs.sparkSession)
-    return documents(docs).mapInArrow(_packer(tokenizer, length, group_tokens), SCHEMA)
+    return documents(docs).mapInArrow(trimmed(_packer(tokenizer, length, group_tokens)), SCHEMA)

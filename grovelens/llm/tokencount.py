@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from grovelens.llm.bpe import encoder
-from grovelens.llm.common import bound_batches, documents, materialize, shared_dir, skew_join
+from grovelens.llm.common import bound_batches, documents, materialize, shared_dir, skew_join, trimmed
 
 CACHE_SCHEMA = StructType([StructField("content", BinaryType()), StructField("tokenizer", BinaryType()), StructField("n_tokens", LongType())])
 
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str |
     # each content moves once: the first of its copies in a task is picked before the shuffle
     distinct = texts.groupBy("content").agg(F.first("body").alias("body"))
     misses = distinct.join(read_cache(docs, cache, version), "content", "left_anti")
-    found = misses.mapInArrow(_counter(tokenizer), "content binary, n_tokens long")
+    found = misses.mapInArrow(trimmed(_counter(tokenizer)), "content binary, n_tokens long")
     found.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     sizes = materialize(texts.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "content"))

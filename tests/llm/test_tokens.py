@@ -83,3 +83,17 @@ def test_packed_pieces_rebuild_every_text(spark, odd, none, library, group):
     texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id != 4}
     assert whole == sorted(zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for t in texts.values())
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_another_kind_of_file_is_left_to_the_library(tmp_path):
+    """A file whose texts aren't cut as the cache expects goes through the library whole."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        content = json.load(f)
+    assert WordEncoder(PATH).plain
+    content["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "other.json").write_text(json.dumps(content), encoding="utf-8")
+    other = WordEncoder(str(tmp_path / "other.json"))
+    texts = ["word and words", "", "Grüße <|endoftext|> x"]
+    assert not other.plain and other.count(texts) == [len(other.library.encode(t, add_special_tokens=False).ids) for t in texts]
