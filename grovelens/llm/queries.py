@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelens.llm import decontam, jaccard, langid, licenses, lmscore, packing, pii, quality, tokencount, urlfilter
-from grovelens.llm.common import table
+from grovelens.llm.common import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,7 +59,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    # a cache of its own: with the kept one, a second run in a session would encode nothing, and its figures would say little
+    cache = f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache=cache)
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_lm_scoring, op5_licenses, op6_language_id, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_token_counts)}
