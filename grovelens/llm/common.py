@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 
@@ -63,6 +65,20 @@ def trimmed(run):
     return batches
 
 
+def trimmed_after(run):
+    """run (a group's tables to a table), with give_back() when nothing of the group but the result is left of it."""
+
+    @functools.wraps(run)
+    def group(*tables):
+        try:
+            return run(*tables)
+        finally:
+            give_back()
+
+    group.__signature__ = inspect.signature(run)  # Spark counts the arguments
+    return group
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES: executor and Python worker each hold a few of them at once."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

@@ -2,8 +2,8 @@
 
 Every training token and bigram is counted and kept. A filter of all bigrams grows with the corpus and can't be broadcast, so it is
 cut into shards by the bigrams' hash, and what would be probes of a broadcast filter are sent to the shards instead. Texts are
-read once into batches of about BATCH_TOKENS tokens, written as numbers. Each batch sends every shard the keys of its different words
-and bigrams with their counts in training texts; a shard sums the counts of all batches, puts the bigrams into its filter
+read once into batches of about BATCH_TOKENS tokens, written as compressed numbers; each task of an executor holds one at a time
+beside the JVM. Each batch sends every shard the keys of its different words and bigrams with their counts in training texts; a shard sums the counts of all batches, puts the bigrams into its filter
 and answers each batch's keys by probing it: one byte a bigram, the exact count for a word. A batch then scores its texts.
 No key is hot: a batch sends it once, however often it occurs there.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovelens.llm.common import bound_batches, documents, give_back, materialize, remainder, trimmed
+from grovelens.llm.common import bound_batches, documents, give_back, materialize, remainder, trimmed, trimmed_after
 from grovelens.llm.shingles import mix
 
 BASE = 1.25
@@ -36,11 +36,11 @@ HASHES = 16
 #: Bits of a filter for each key and level: HASHES / ln 2.
 BITS = 24
 PSEUDO = 20.0
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 #: Keys that a shard gets at most, on the average; what a task holds of a shard is some 100 bytes a key.
 SHARD_KEYS = 1_000_000
-#: Different words whose numbers a task keeps.
-KNOWN_WORDS = 300_000
+#: Shards whose keys a batch sends in one Arrow batch.
+SENT_SHARDS = 64
 #: The end token; no word is empty.
 END = b""
 
@@ -87,17 +87,35 @@ class CountFilter:
         return found
 
 
-class Numbers(dict):
-    """64-bit numbers of words."""
+class Places(dict):
+    """A batch's different words in the order of their first places, each with its place among them; the end token has place 0."""
+
+    def __init__(self):
+        self[END] = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self[END] = 0
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = xxhash.xxh3_64_intdigest(word)
-        return number
+        place = self[word] = len(self)
+        return place
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def numbers(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Four-byte places, compressed byte by byte: frequent words come early, so the high bytes are mostly zero."""
+    return pa.compress(np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).reshape(n)
 
 
 _BATCH = "batch long, doc_ids array<long>, held array<boolean>, trains array<boolean>, lengths array<long>, n long, words binary, tokens binary"
@@ -109,14 +127,13 @@ WORDS, BIGRAMS = 0, 1
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_BATCH rows: texts as numbers of the batch's different words, each text with its end token."""
-    numbers = Numbers()
+    places = Places()
     ids, held, trains, rows, size = [], [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        words, tokens = np.unique(np.concatenate(rows), return_inverse=True)
-        values = [[uuid.uuid4().int >> 65], [list(ids)], [list(held)], [list(trains)], [[len(r) for r in rows]], [size], [words.tobytes()], [tokens.astype(np.int32).tobytes()]]
+        values = [[uuid.uuid4().int >> 65], [list(ids)], [list(held)], [list(trains)], [[len(r) for r in rows]], [size], [places.numbers().tobytes()], [packed(np.concatenate(rows))]]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
-        for held_rows in (ids, held, trains, rows):
+        for held_rows in (ids, held, trains, rows, places):
             held_rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BATCH.split(", ")])
 
@@ -124,7 +141,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for text, i, h, t in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("doc_id", "held", "train")), strict=True):
-                rows.append(numbers.of([*(text or b"").lower().split(), END]))
+                rows.append(places.of([*(text or b"").lower().split(), END]))
                 ids.append(i)
                 held.append(h)
                 trains.append(t)
@@ -132,28 +149,41 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= BATCH_TOKENS:
                     yield out()
                     size = 0
+                    give_back()
     if rows:
         yield out()
 
 
 class Batch:
-    """One _BATCH row: its words, and its different bigrams (codes of two places in words) with the one at each place."""
+    """One _BATCH row: its words, and its different bigrams (codes of two places in words) with the one at each place.
+
+    Of the arrays as long as the text, only tokens and bigram stay, of four bytes a token; four of eight are needed in between.
+    """
 
     def __init__(self, row: dict):
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
         self.lengths = np.array(row["lengths"], np.int64)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        end = np.searchsorted(self.words, np.uint64(xxhash.xxh3_64_intdigest(END)))
-        before = np.concatenate([[end], self.tokens[:-1]])
-        before[np.cumsum(self.lengths)[:-1]] = end  # a text's first word follows an end
-        codes, self.bigram = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.first, self.second = codes // len(self.words), codes % len(self.words)
+        self.tokens = unpacked(row["tokens"], int(self.lengths.sum()))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        codes = np.empty(len(self.tokens), np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[self.starts] = 0  # a text's first word follows an end
+        codes *= len(self.words)
+        codes += self.tokens
+        order = np.argsort(codes)
+        codes = codes[order]
+        new = np.concatenate([[True], codes[1:] != codes[:-1]])
+        self.bigram = np.empty(len(codes), np.int32)
+        self.bigram[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        codes = codes[new]
+        self.first, self.second = (codes // len(self.words)).astype(np.int32), (codes % len(self.words)).astype(np.int32)
+        del codes, new
         self.keys = mix(self.words[self.first] ^ mix(self.words[self.second], 31), 37)
 
     def counts(self, trains: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """How often each word and each bigram occurs in training texts."""
-        weight = np.array(trains, bool)[self.owner]
+        weight = np.repeat(np.array(trains, bool), self.lengths)
         return np.bincount(self.tokens[weight], minlength=len(self.words)), np.bincount(self.bigram[weight], minlength=len(self.keys))
 
 
@@ -163,30 +193,38 @@ def shard_order(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(shards + 1, dtype=np.uint64))
 
 
+def _sent(row: dict, shards: int) -> Iterator[pa.RecordBatch]:
+    """_KEYS rows of one _BATCH row."""
+    batch = Batch(row)
+    for kind, keys, counts in zip((WORDS, BIGRAMS), (batch.words, batch.keys), batch.counts(row["trains"]), strict=True):
+        order, cuts = shard_order(keys, shards)
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        for at in range(0, len(full), SENT_SHARDS):
+            some = full[at : at + SENT_SHARDS]
+            parts = [order[cuts[s] : cuts[s + 1]] for s in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["batch"]] * len(some), pa.int64()),
+                    pa.array(some, pa.int32()),
+                    pa.array([kind] * len(some), pa.int32()),
+                    pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+                ],
+                names=["batch", "shard", "kind", "keys", "counts"],
+            )
+
+
 def _send(shards: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                row = rows.slice(k, 1).to_pylist()[0]
-                batch = Batch(row)
-                for kind, keys, counts in zip((WORDS, BIGRAMS), (batch.words, batch.keys), batch.counts(row["trains"]), strict=True):
-                    order, cuts = shard_order(keys, shards)
-                    full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                    parts = [order[cuts[s] : cuts[s + 1]] for s in full]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["batch"]] * len(full), pa.int64()),
-                            pa.array(full, pa.int32()),
-                            pa.array([kind] * len(full), pa.int32()),
-                            pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-                            pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
-                        ],
-                        names=["batch", "shard", "kind", "keys", "counts"],
-                    )
+                yield from _sent(rows.slice(k, 1).to_pylist()[0], shards)
+                give_back()
 
     return send
 
 
+@trimmed_after
 def _answer(table: pa.Table) -> pa.Table:
     """Answers of one shard: exact counts of words, the level that the shard's filter has for bigrams; n and v add up to the training tokens and their different words."""
     out = {name: [] for name in ("batch", "shard", "kind", "answer", "n", "v")}
@@ -209,7 +247,6 @@ def _answer(table: pa.Table) -> pa.Table:
         out["n"] += [int(counts.sum()) if own else 0] + [0] * (len(sent) - 1)
         out["v"] += [int((counts > 0).sum()) if own else 0] + [0] * (len(sent) - 1)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    give_back()
     return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), kinds, strict=True)})
 
 
@@ -219,6 +256,7 @@ def probabilities(levels: np.ndarray, history: np.ndarray, single: np.ndarray) -
 
 
 def _score(shards: int, n: int, v: int):
+    @trimmed_after
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in texts.to_pylist():
@@ -227,21 +265,20 @@ def _score(shards: int, n: int, v: int):
             told = []
             for kind, keys, dtype in ((WORDS, batch.words, np.int64), (BIGRAMS, batch.keys, np.uint8)):
                 order, _ = shard_order(keys, shards)
-                values = np.empty(len(keys), np.int64)
+                values = np.empty(len(keys), dtype)
                 values[order] = np.frombuffer(b"".join(given.get((kind, s), b"") for s in range(shards)), dtype)
                 told.append(values)
             counts, levels = told
             single = (counts + 1.0) / (n + v + 1.0)
             log = np.log10(probabilities(levels, counts[batch.first], single[batch.second]))
-            of = lambda weights: np.bincount(batch.owner, weights, len(batch.lengths))  # noqa: B023, E731
+            of = lambda values, at: np.add.reduceat(values[at], batch.starts)  # noqa: B023, E731
             found["doc_id"] += row["doc_ids"]
             found["held_out"] += row["held"]
             found["n_tokens"] += batch.lengths.tolist()
-            found["n_known"] += of(counts[batch.tokens] > 0).astype(np.int64).tolist()
-            found["base_score"] += of(np.log10(single)[batch.tokens]).tolist()
-            found["score"] += of(log[batch.bigram]).tolist()
+            found["n_known"] += of((counts > 0).astype(np.int64), batch.tokens).tolist()
+            found["base_score"] += of(np.log10(single), batch.tokens).tolist()
+            found["score"] += of(log, batch.bigram).tolist()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        give_back()
         return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), kinds, strict=True)})
 
     return score
@@ -258,7 +295,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     Texts with the remainder `held_out` are scored but not learnt from; a null doc_id has none and is learnt from neither.
     A null or empty text is its end token. Repeated rows are each learnt from and answered, ties alike; an empty table gives an
     empty result; without a training row every count is 0; columns other than doc_id and text are ignored. A text is taken
-    whole: one longer than BATCH_TOKENS is a batch of its own, about 50 bytes a token in its worker.
+    whole: one longer than BATCH_TOKENS is a batch of its own, about 35 bytes a token in its worker.
     """
     bound_batches(docs.sparkSession)
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False))

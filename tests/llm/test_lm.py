@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grovelens.llm import lmscore
@@ -46,6 +48,29 @@ def test_long_text(spark, odd):
     assert got[6] == 30_001 and got[7] == 2 and got[1] == got[2] == 1
 
 
+def test_bytes_a_token_in_a_worker():
+    """What two workers hold beside an executor's JVM is bounded by bytes for each token of a batch."""
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return out, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(7)
+    n, size = 400, 1000
+    texts = [" ".join(map(str, rng.zipf(1.3, size) % 50_000)) for _ in range(n)]
+    given = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": texts, "held": [False] * n, "train": [True] * n})
+    rows, made = peak(lambda: list(lmscore._batches(iter([given]))))
+    row = rows[0].to_pylist()[0]
+    tokens = n * (size + 1)
+    assert row["n"] == tokens and len(rows) == 1
+    sent, held = peak(lambda: sum(b.num_rows for b in lmscore._send(64)(iter(rows))))
+    assert sent > 64 and made < 35 * tokens and held < 50 * tokens, (made / tokens, held / tokens)
+
+
 def test_model_learns_word_order(spark, none):
     rng = random.Random(3)
     pairs = [(f"a{i}", f"b{i}") for i in range(40)]
