@@ -438,3 +438,8 @@ def manifest_facts(spark, d):
     python = F.array(F.struct(F.lit("pyproject.toml").alias("name"), F.lit('[tool.poetry.dependencies]\nfastapi = "1"\npytest = "1"\n').alias("text")), F.struct(F.lit("poetry.lock").alias("name"), F.lit("").alias("text")))
     rows = read(spark, d, "part").select(root.alias("root"), F.explode(F.when(k % 2 == 0, node).otherwise(python)).alias("f")).select("root", "f.name", "f.text")
     return facts.facts(rows).filter("fact in ('stack', 'command')").select("root", "fact", "label")
+
+
+#: The names that suffix_match and nearest_name over whole tables were first registered by, and are still asked for by.
+for _name in ("suffix_match", "nearest_name"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
