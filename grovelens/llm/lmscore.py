@@ -3,9 +3,11 @@
 Every training token and bigram is counted and kept. A filter of all bigrams grows with the corpus and can't be broadcast, so it is
 cut into shards by the bigrams' hash, and what would be probes of a broadcast filter are sent to the shards instead. Texts are
 read once into batches of about BATCH_TOKENS tokens, written as compressed numbers; each task of an executor holds one at a time
-beside the JVM. Each batch sends every shard the keys of its different words and bigrams with their counts in training texts; a shard sums the counts of all batches, puts the bigrams into its filter
-and answers each batch's keys by probing it: one byte a bigram, the exact count for a word. A batch then scores its texts.
-No key is hot: a batch sends it once, however often it occurs there.
+beside the JVM. Each batch sends every shard the keys of its different words and bigrams with their counts in training texts;
+a shard sums the counts of all batches, puts the bigrams into its filter and answers each batch's keys by probing it: one byte
+a bigram, the exact count for a word. A batch then scores its texts.
+No key is hot: a batch sends it once, however often it occurs there. Messages are as many as batches times shards, so they
+get smaller as the corpus grows, and their number grows with its square.
 
 A count c has the level 1 + floor(log(c) / log(BASE)). The filter holds the keys (bigram, 1) to (bigram, level) and is read by
 probing level after level until one is missing. P(w | h) = (q(h, w) + PSEUDO * P(w)) / (c(h) + PSEUDO), with q the least count of
@@ -119,10 +121,9 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 _BATCH = "batch long, doc_ids array<long>, held array<boolean>, trains array<boolean>, lengths array<long>, n long, words binary, tokens binary"
-_KEYS = "batch long, shard int, kind int, keys binary, counts binary"
-_ANSWERS = "batch long, shard int, kind int, answer binary, n long, v long"
+_KEYS = "batch long, shard int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
+_ANSWERS = "batch long, shard int, words binary, bigrams binary, n long, v long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-WORDS, BIGRAMS = 0, 1
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +197,15 @@ def shard_order(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 def _sent(row: dict, shards: int) -> Iterator[pa.RecordBatch]:
     """_KEYS rows of one _BATCH row."""
     batch = Batch(row)
-    for kind, keys, counts in zip((WORDS, BIGRAMS), (batch.words, batch.keys), batch.counts(row["trains"]), strict=True):
-        order, cuts = shard_order(keys, shards)
-        full = np.flatnonzero(cuts[1:] > cuts[:-1])
-        for at in range(0, len(full), SENT_SHARDS):
-            some = full[at : at + SENT_SHARDS]
+    dealt = [(keys, counts, *shard_order(keys, shards)) for keys, counts in zip((batch.words, batch.keys), batch.counts(row["trains"]), strict=True)]
+    full = np.flatnonzero(sum(np.diff(cuts) for *_, cuts in dealt))
+    for at in range(0, len(full), SENT_SHARDS):
+        some = full[at : at + SENT_SHARDS]
+        columns = [pa.array([row["batch"]] * len(some), pa.int64()), pa.array(some, pa.int32())]
+        for keys, counts, order, cuts in dealt:
             parts = [order[cuts[s] : cuts[s + 1]] for s in some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["batch"]] * len(some), pa.int64()),
-                    pa.array(some, pa.int32()),
-                    pa.array([kind] * len(some), pa.int32()),
-                    pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-                    pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
-                ],
-                names=["batch", "shard", "kind", "keys", "counts"],
-            )
+            columns += [pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _KEYS.split(", ")])
 
 
 def _send(shards: int):
@@ -224,30 +218,24 @@ def _send(shards: int):
     return send
 
 
+def _counted(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of all rows and their counts, the place of each row's keys among them, and where the next row's begin."""
+    sent = [np.frombuffer(k, np.uint64) for k in keys.to_pylist()]
+    own, at = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in counts.to_pylist()]), len(own)).astype(np.int64)
+    return own, total, at, np.cumsum([len(s) for s in sent])[:-1]
+
+
 @trimmed_after
 def _answer(table: pa.Table) -> pa.Table:
     """Answers of one shard: exact counts of words, the level that the shard's filter has for bigrams; n and v add up to the training tokens and their different words."""
-    out = {name: [] for name in ("batch", "shard", "kind", "answer", "n", "v")}
-    for kind in (WORDS, BIGRAMS):
-        rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
-        if not rows.num_rows:
-            continue
-        sent = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
-        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
-        if kind == WORDS:
-            answers = counts[at]
-        else:
-            answers = CountFilter(keys[counts > 0], counts[counts > 0]).levels(keys)[at]
-        cuts = np.cumsum([len(s) for s in sent])[:-1]
-        out["answer"] += [a.tobytes() for a in np.split(answers, cuts)]
-        for name in ("batch", "shard", "kind"):
-            out[name] += rows.column(name).to_pylist()
-        own = kind == WORDS
-        out["n"] += [int(counts.sum()) if own else 0] + [0] * (len(sent) - 1)
-        out["v"] += [int((counts > 0).sum()) if own else 0] + [0] * (len(sent) - 1)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), kinds, strict=True)})
+    _, counts, at, cuts = _counted(table.column("words"), table.column("word_counts"))
+    words = [a.tobytes() for a in np.split(counts[at], cuts)]
+    n, v = ([int(x)] + [0] * (len(words) - 1) for x in (counts.sum(), (counts > 0).sum()))
+    keys, counts, at, cuts = _counted(table.column("bigrams"), table.column("bigram_counts"))
+    levels = CountFilter(keys[counts > 0], counts[counts > 0]).levels(keys)
+    bigrams = [a.tobytes() for a in np.split(levels[at], cuts)]
+    return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "words": pa.array(words, pa.binary()), "bigrams": pa.array(bigrams, pa.binary()), "n": pa.array(n, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def probabilities(levels: np.ndarray, history: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -261,12 +249,12 @@ def _score(shards: int, n: int, v: int):
         found = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in texts.to_pylist():
             batch = Batch(row)
-            given = {(k, s): a for k, s, a in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True)}
+            by_shard = answers.sort_by("shard")
             told = []
-            for kind, keys, dtype in ((WORDS, batch.words, np.int64), (BIGRAMS, batch.keys, np.uint8)):
+            for kind, keys, dtype in (("words", batch.words, np.int64), ("bigrams", batch.keys, np.uint8)):
                 order, _ = shard_order(keys, shards)
                 values = np.empty(len(keys), dtype)
-                values[order] = np.frombuffer(b"".join(given.get((kind, s), b"") for s in range(shards)), dtype)
+                values[order] = np.frombuffer(b"".join(by_shard.column(kind).to_pylist()), dtype)
                 told.append(values)
             counts, levels = told
             single = (counts + 1.0) / (n + v + 1.0)
@@ -307,5 +295,5 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     sent = texts.select("batch", "trains", "lengths", "words", "tokens").mapInArrow(trimmed(_send(shards)), _KEYS)
     answers = materialize(sent.groupBy("shard").applyInArrow(_answer, _ANSWERS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    scored = texts.drop("trains", "n").groupBy("batch").cogroup(answers.select("batch", "kind", "shard", "answer").groupBy("batch")).applyInArrow(_score(shards, n, v), _SCORES)
+    scored = texts.drop("trains", "n").groupBy("batch").cogroup(answers.select("batch", "shard", "words", "bigrams").groupBy("batch")).applyInArrow(_score(shards, n, v), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
