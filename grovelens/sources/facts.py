@@ -1,6 +1,6 @@
 """Project facts from manifests: name, stack labels, commands, entry points, and the roots of nested projects.
 
-Facts of one project come from a handful of small files, so they are read in one worker call for each root; a frame of
+Facts of one project come from a handful of small files, so a worker reads them together, root after root; a frame of
 manifests (root, name, text) with many roots is processed in parallel. Every fact names the file it comes from.
 """
 
@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +53,9 @@ PLAIN = (("Package.swift", "Swift Package Manager"), ("go.mod", "Go modules"), (
 MARKS = {"Gemfile": (r"gem\s+[\"']rails[\"']", "Rails"), "composer.json": (r"laravel/framework", "Laravel")}
 GRADLE_MARKS = ((r"com\.android\.(application|library)", "Android"), (r"compose\s*(=|\()\s*true|androidx\.compose", "Jetpack Compose"))
 
+#: Rows of facts that a worker returns at once.
+BATCH_ROWS = 5_000
+
 SCHEMA = "root string, ord int, fact string, label string, source string, runs string, note string"
 
 
@@ -63,9 +70,13 @@ PUB_LABELS = _pairs(PUB_LABELS)
 
 def has_python_dependency(text: str, name: str) -> bool:
     """A requirement of that name on its own, in any manifest's form; comments don't count."""
-    plain = re.sub(r"(?m)#.*$", "", text)
+    return bool(_requirement(name).search(re.sub(r"(?m)#.*$", "", text)))
+
+
+@cache
+def _requirement(name: str) -> re.Pattern:
     own = "[-_.]".join(map(re.escape, re.split("[-_.]", name)))
-    return bool(re.search(rf"(?im)(?:^|[\s\"'\[,]){own}(?:\[[^\]]*\])?\s*(?:[<>=~!;,\"'\]]|$)", plain))
+    return re.compile(rf"(?im)(?:^|[\s\"'\[,]){own}(?:\[[^\]]*\])?\s*(?:[<>=~!;,\"'\]]|$)")
 
 
 def package_manager(manifest: dict, names: set[str]) -> tuple[str, str]:
@@ -263,13 +274,23 @@ def manifests(texts: DataFrame, roots: DataFrame) -> DataFrame:
 def facts(manifests: DataFrame, name: str = "") -> DataFrame:
     """SCHEMA rows for manifests (root, name, text); a label that a root repeats counts once. name: the top project's own, if no manifest has one."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        root = frame["root"].iloc[0]
-        rows = project_facts(dict(zip(frame["name"], frame["text"], strict=True)), name if root == "." else "")
-        out = pd.DataFrame([(root, k, *r) for k, r in enumerate(rows)], columns=["root", "ord", "fact", "label", "source", "runs", "note"])
-        return out.astype({"ord": "int32"})
-
-    return manifests.select("root", "name", "text").groupBy("root").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+        rows: list[tuple] = []
+        for root, group in groupby(files, key=itemgetter(0)):
+            rows += [(root, k, *r) for k, r in enumerate(project_facts({n: text for _, n, text in group}, name if root == "." else ""))]
+            if len(rows) >= BATCH_ROWS:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [("root", pa.string()), ("ord", pa.int32()), *((n, pa.string()) for n in ("fact", "label", "source", "runs", "note"))]
+        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], names=[n for n, _ in types])
+
+    # a root's files come one after another, so that a call has many roots: a group of its own for each costs more than its facts
+    return manifests.select("root", "name", "text").repartition("root").sortWithinPartitions("root").mapInArrow(run, SCHEMA)
 
 
 def merged(facts: DataFrame) -> DataFrame:

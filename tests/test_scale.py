@@ -2,6 +2,7 @@
 
 from grovelens.operators import drift
 from grovelens.plans import catalogue
+from grovelens.sources import facts
 
 
 def plan(frame) -> str:
@@ -21,3 +22,15 @@ def test_module_forms(spark):
     found = {(r.file, r.reference, r.suggestion) for r in drift.missing_paths(refs, files).collect()}
     d = "docs/d.md"
     assert found == {(d, "./m", None), (d, "src/m.js", None), (d, "src/index", None), (d, "gone/x.tests.md", None), (d, "gone/y.md", "c/y.md"), (d, "src/words", None), ("a/src/e.md", "m", None)}
+
+
+def test_facts_of_many_roots(spark):
+    """Roots share a worker call, whatever their number; each has its own facts, and one whose files give none has no rows."""
+    assert "FlatMapGroupsInPandas" not in plan(catalogue.QUERIES["manifest_facts"](spark, "/root/testdata/sf0.001"))
+    rows = [(f"p{k}", n, t) for k in range(3_000) for n, t in (("go.mod", "module x"), ("Makefile", f"t{k}: x\n"), ("other", None))] + [(".", "package.json", "{}"), ("none", "other", "x"), (None, "go.mod", "")]
+    frame = spark.createDataFrame(rows, "root string, name string, text string")
+    found = sorted((r.root or "", r.ord, r.fact, r.label) for r in facts.facts(frame, "own").collect())
+    each = [(f"p{k}", o, *x) for k in range(3_000) for o, x in enumerate((("stack", "Go modules"), ("command", f"make t{k}")))]
+    none = [("", 0, "stack", "Go modules"), ("", 1, "command", "go build ./..."), ("", 2, "command", "go test ./...")]
+    assert found == sorted([*each, *none, (".", 0, "name", "own"), (".", 1, "stack", "Node.js"), (".", 2, "stack", "npm")])
+    assert facts.facts(frame.limit(0)).collect() == []
