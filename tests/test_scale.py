@@ -34,3 +34,29 @@ def test_facts_of_many_roots(spark):
     none = [("", 0, "stack", "Go modules"), ("", 1, "command", "go build ./..."), ("", 2, "command", "go test ./...")]
     assert found == sorted([*each, *none, (".", 0, "name", "own"), (".", 1, "stack", "Node.js"), (".", 2, "stack", "npm")])
     assert facts.facts(frame.limit(0)).collect() == []
+
+
+def test_missing_scripts_plan(spark):
+    found = plan(catalogue.QUERIES["missing_scripts"](spark, "/root/testdata/sf0.001"))
+    # the only table that is broadcast has one row
+    assert found.count("BroadcastExchange") <= 1 and "BroadcastHashJoin" not in found and found.count("MapInPandas") == 1
+
+
+def test_homes_of_commands(spark):
+    """The nearest manifest above a document, the folder of a `cd` and no other, the top, and none."""
+    files = spark.createDataFrame([("package.json",), ("a/b/c.md",), ("a/package.json",), ("a/server.js",), ("m/Makefile",), ("m/n/d.md",), ("e/f.md",)], "path string")
+    scripts = spark.createDataFrame([(".", "package", "build"), ("a", "package", "lint"), ("m", "make", "all")] + [("a", "package", f"long{k}") for k in range(40)], "dir string, kind string, name string")
+    said = [("a/b/c.md", "npm", "lnit", None), ("a/b/c.md", "npm", "start", None), ("a/b/c.md", "npm", "long7x", None), ("a/b/c.md", "npm", "build", "../.."), ("a/b/c.md", "npm", "biuld", "../.."), ("a/b/c.md", "npm", "x", "gone"), ("e/f.md", "npm", "biuld", None), ("m/n/d.md", "make", "al", None), ("e/f.md", "make", "all", None), ("e/f.md", "npm", "build", "../e"), ("top.md", "npm", "bild", None), ("top.md", "make", "bild", "a")]
+    refs = spark.createDataFrame([(f, k, "command", s, t, s, c, k) for k, (f, t, s, c) in enumerate(said)], drift.REF_SCHEMA)
+    found = {(r.line, r.message, r.suggestion) for r in drift.missing_scripts(refs, scripts, files).collect()}
+    assert found == {
+        (0, "`lnit` is not a script in a/package.json", "lint"),
+        (2, "`long7x` is not a script in a/package.json", "long7"),
+        (4, "`biuld` is not a script in package.json", "build"),
+        (6, "`biuld` is not a script in package.json", "build"),
+        (7, "Makefile has no `al` target", "all"),
+        (8, "there is no Makefile in this project for this command", None),
+        (9, "there is no package.json in `e` for this command", None),
+        (10, "`bild` is not a script in package.json", "build"),
+        (11, "there is no Makefile in `a` for this command", None),
+    }
